@@ -131,8 +131,13 @@ def sql_fill_template(template: str, **values: str) -> str:
 
 
 def sql_case_map(x: str, mapping: Mapping, default_sql: str = "NULL") -> str:
-    whens = " ".join(f"WHEN {sql_str(k)} THEN {sql_str(v) if isinstance(v, str) else v}"
-                     for k, v in mapping.items())
+    def lit(v):
+        if isinstance(v, str):
+            return sql_str(v)
+        if isinstance(v, float):
+            return f"CAST({v!r} AS DOUBLE)"
+        return str(v)
+    whens = " ".join(f"WHEN {sql_str(k)} THEN {lit(v)}" for k, v in mapping.items())
     return f"(CASE CAST({x} AS VARCHAR) {whens} ELSE {default_sql} END)"
 
 
