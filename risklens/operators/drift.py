@@ -100,7 +100,7 @@ def drift_all(log: DataFrame, **kw) -> DataFrame:
 
 def drift_log_rows(checks: DataFrame, checked_at: Column | None = None) -> DataFrame:
     """Rows for the drift log: every check, also the non-drift ones (0/1 flag)."""
-    checked_at = checked_at if checked_at is not None else F.current_timestamp()
+    checked_at = checked_at if checked_at is not None else F.localtimestamp()
     return checks.select("student_id", checked_at.alias("checked_at"),
                          F.col("z_score").cast("double").alias("z_score"),
                          F.col("drift_detected").cast("int").alias("drift_detected"),
@@ -132,3 +132,53 @@ def drift_baseline(log: DataFrame, fraction: float = C.BASELINE_FRACTION) -> Dat
                  F.max("week_number").alias("last_week"),
                  F.avg("clicks").alias("baseline_mean"),
                  F.stddev_pop("clicks").alias("baseline_std")))
+
+
+def drift_replay(log: DataFrame, threshold: float = C.Z_SCORE_THRESHOLD,
+                 fraction: float = C.BASELINE_FRACTION,
+                 min_history: int = C.MIN_HISTORY) -> DataFrame:
+    """The check that ran when each row arrived, for every row.
+
+    Row p of a student's series is "current" with history rows 1..p; its
+    baseline is rows 1..b, b = max(1, floor(p * fraction)). Running sums
+    S and Q (sum of squares) over the ordered series give every prefix; the
+    row at position b is found by an equi-join on (student, position), so
+    there is no per-row scan of earlier rows. Variance = (b*Q - S^2) / b^2,
+    exact for integer clicks.
+    """
+    ordered = Window.partitionBy("student_id").orderBy(*_order(log))
+    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = F.col("clicks").cast("double")
+    rows = log.select("student_id", "week_number", *(["logged_at"] if "logged_at" in log.columns else []),
+                      x.alias("clicks"),
+                      F.row_number().over(ordered).alias("p"),
+                      F.sum(x).over(running).alias("s"),
+                      F.sum(x * x).over(running).alias("q"))
+    prefix = rows.select("student_id", F.col("p").alias("b"), F.col("s").alias("sb"),
+                         F.col("q").alias("qb"))
+    cur = rows.withColumn("b", F.greatest(F.lit(1), F.floor(F.col("p") * F.lit(float(fraction)))))
+    j = cur.join(prefix, ["student_id", "b"])
+    mean = F.col("sb") / F.col("b")
+    var = F.greatest(F.lit(0.0), (F.col("b") * F.col("qb") - F.col("sb") * F.col("sb"))
+                     / (F.col("b") * F.col("b")))
+    std_raw = F.sqrt(var)
+    std = F.when(std_raw < C.FLAT_STD_EPSILON, F.lit(1.0)).otherwise(std_raw)
+    short = F.col("p") < min_history
+    z = F.when(short, F.lit(0.0)).otherwise((F.col("clicks") - mean) / std)
+    return j.select(
+        "student_id", "week_number", *(["logged_at"] if "logged_at" in log.columns else []),
+        F.col("p").cast("bigint").alias("history_len"),
+        F.col("clicks").cast("bigint").alias("current_clicks"),
+        F.when(short, F.lit(0.0)).otherwise(mean).alias("baseline_mean"),
+        F.when(short, F.lit(0.0)).otherwise(std).alias("baseline_std"),
+        z.alias("z_score"),
+        (~short & (F.abs(z) > F.lit(float(threshold)))).alias("drift_detected"))
+
+
+def drift_log_from_replay(replay: DataFrame) -> DataFrame:
+    """Drift-log rows (checked_at = arrival time of the row checked)."""
+    msg = drift_message(F.col("history_len"), F.col("current_clicks"), F.col("baseline_mean"),
+                        F.col("z_score"), F.col("drift_detected"))
+    return replay.select("student_id", F.col("logged_at").alias("checked_at"),
+                         F.col("z_score"), F.col("drift_detected").cast("int").alias("drift_detected"),
+                         msg.alias("alert_message"))

@@ -15,7 +15,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 _ARROW_OF_SPARK = {"bigint": "int64", "int": "int32", "double": "double", "string": "string",
-                   "boolean": "bool", "timestamp": "timestamp[us]", "date": "date32[day]",
+                   "boolean": "bool", "timestamp": "timestamp[us, tz=UTC]",
+                   "timestamp_ntz": "timestamp[us]", "date": "date32[day]",
                    "smallint": "int16", "tinyint": "int8", "float": "float"}
 
 

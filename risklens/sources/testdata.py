@@ -181,7 +181,7 @@ def students(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.coalesce("confidence_score", F.lit(0.0)).alias("confidence_score"),
                     F.lit(C.STATUS_STATIC).alias("status"),
                     F.coalesce("prediction_date",
-                               F.lit(LOG_START).cast("timestamp")).alias("last_updated")))
+                               F.lit(LOG_START).cast("timestamp_ntz")).alias("last_updated")))
 
 
 def labelled_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
