@@ -37,4 +37,4 @@ def load_all() -> None:
         importlib.import_module(f"risklens.plans.{mod}")
 
 
-MODULES = ["q_drift", "q_features", "q_reports", "q_state"]
+MODULES = ["q_drift", "q_features", "q_reports", "q_state", "q_model"]
