@@ -61,7 +61,8 @@ class Registry:
                "feature_names": meta.get("feature_names"), "class_names": meta.get("class_names"),
                "confusion_matrix": meta.get("confusion_matrix"),
                "classification_report": meta.get("classification_report"),
-               "data_source": meta.get("data_source"), "path": self.model_path(version)}
+               "data_source": meta.get("data_source"),
+               "path": meta.get("path") or self.model_path(version)}
         df = self.spark.createDataFrame([row], REGISTRY_SCHEMA)
         df.coalesce(1).write.mode("append").parquet(self.path)
 

@@ -41,7 +41,8 @@ def artifacts(spark: SparkSession, sf_dir: str, params: EnsembleParams = PARAMS,
               fit_on: str = "train") -> training.TrainResult:
     """The session's trained ensemble for these tables (fitted once)."""
     return training.train(spark, master(spark, sf_dir), model_root(spark, sf_dir), params,
-                          fit_on=fit_on, cache_key=sf_dir)
+                          fit_on=fit_on, data_source=f"tables:{sf_dir}", cache_key=sf_dir,
+                          reuse=True)
 
 
 def upload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,11 +97,16 @@ def q_model_current(spark, sf_dir):
 def q_model_rollback(spark, sf_dir):
     """Retrain (scaler fitted on all rows, a second version), then roll
     back to the previous version; the registry keeps every event."""
-    root = shared_path(spark, "risklens", "models", _tag(sf_dir) + "-rollback")
-    m = master(spark, sf_dir)
-    training.train(spark, m, root, PARAMS, fit_on="train", cache_key=(sf_dir, "rb1"))
-    training.train(spark, m, root, PARAMS, fit_on="all", cache_key=(sf_dir, "rb2"))
+    root = _run_dir(spark, "rollback")
+    base = artifacts(spark, sf_dir)
     reg = Registry(spark, root)
+    meta = {k: v for k, v in base.metadata.items() if k not in ("version", "event", "event_time")}
+    meta["path"] = base.path
+    reg.append(base.version, "trained", meta)
+    reg.append(base.version, "activated", {"path": base.path})
+    m = master(spark, sf_dir)
+    training.train(spark, m, root, PARAMS, fit_on="all", data_source=f"tables:{sf_dir}",
+                   cache_key=(sf_dir, "all"))
     back_to = reg.rollback()
     return reg.read().select("version", "event", "event_time", "accuracy", "f1_score").withColumn(
         "active_after_rollback", F.lit(back_to))

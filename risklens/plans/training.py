@@ -33,13 +33,16 @@ class TrainResult:
     test_scored: DataFrame
 
 
-def prepare(master: DataFrame, fit_on: str = "train"):
-    """Encoded + labelled + split rows, the fitted region codes and scaler."""
-    codes = encode.fit_region_codes(master)
+def prepare(master: DataFrame, fit_on: str = "train", codes: DataFrame | None = None,
+            scaler: ScalerModel | None = None):
+    """Encoded + labelled + split rows, the region codes and scaler (fitted
+    here unless saved ones are given)."""
+    codes = codes if codes is not None else encode.fit_region_codes(master)
     rows = encode.label_index(encode.encode_target(encode.encode_demographics(master, codes)))
     rows = split.stratified_split(rows, "final_result", "id_student")
-    fit_rows = rows if fit_on == "all" else rows.where(~F.col("is_test"))
-    scaler = ScalerModel.fit(fit_rows)
+    if scaler is None:
+        fit_rows = rows if fit_on == "all" else rows.where(~F.col("is_test"))
+        scaler = ScalerModel.fit(fit_rows)
     return scaler.transform(rows), codes, scaler
 
 
@@ -82,11 +85,23 @@ _CACHE: dict = {}
 
 def train(spark: SparkSession, master: DataFrame, model_root: str,
           params: EnsembleParams | None = None, fit_on: str = "train",
-          data_source: str = "driver tables", cache_key=None) -> TrainResult:
+          data_source: str = "driver tables", cache_key=None, reuse: bool = False) -> TrainResult:
+    """Fit (or, with ``reuse``, load the registered version fitted on the
+    same data with the same parameters), evaluate, save and register."""
     p = params or EnsembleParams()
     key = (cache_key, astuple(p), fit_on, model_root) if cache_key is not None else None
     if key is not None and key in _CACHE:
         return _CACHE[key]
+    signature = f"{data_source}|{astuple(p)}|{fit_on}|{ARTIFACT_FORMAT}"
+    if reuse:
+        reg = Registry(spark, model_root)
+        hit = reg.read().where((F.col("event") == "trained") & (F.col("data_source") == signature)) \
+            .agg(F.max("version").alias("v")).first().v
+        if hit is not None:
+            result = load_version(spark, model_root, hit, master)
+            if key is not None:
+                _CACHE[key] = result
+            return result
     rows, codes, scaler = prepare(master, fit_on)
     rows = rows.persist()
     train_rows = split.with_class_weight(rows.where(~F.col("is_test")), "final_result")
@@ -98,7 +113,7 @@ def train(spark: SparkSession, master: DataFrame, model_root: str,
     meta.update({"training_date": datetime.now(timezone.utc).replace(tzinfo=None),
                  "num_samples": n, "num_features": len(C.FEATURES),
                  "feature_names": list(C.FEATURES), "class_names": list(C.LABEL_ORDER),
-                 "data_source": data_source})
+                 "data_source": signature})
     reg = Registry(spark, model_root)
     version = reg.next_version()
     path = reg.model_path(version)
@@ -115,6 +130,28 @@ def train(spark: SparkSession, master: DataFrame, model_root: str,
     return result
 
 
+ARTIFACT_FORMAT = "a1"
+
+
+def load_version(spark: SparkSession, model_root: str, version: int,
+                 master: DataFrame | None = None) -> TrainResult:
+    """Saved artifacts of a version; with ``master`` the held-out rows
+    are re-scored for evaluation."""
+    reg = Registry(spark, model_root)
+    path = reg.model_path(version)
+    model = EnsembleModel.load(path)
+    scaler = ScalerModel.from_df(spark.read.parquet(f"{path}/scaler"))
+    codes = spark.read.parquet(f"{path}/region_codes")
+    meta = reg.read().where((F.col("version") == version) & (F.col("event") == "trained")).first()
+    test_scored = None
+    if master is not None:
+        rows, _, _ = prepare(master, codes=codes, scaler=scaler)
+        test_scored = soft_vote(model.member_probabilities(rows.where(F.col("is_test"))),
+                                ["p_rf", "p_gbt"])
+    return TrainResult(model, scaler, codes, version, path, meta.asDict() if meta else {},
+                       test_scored)
+
+
 def load_active(spark: SparkSession, model_root: str) -> TrainResult | None:
     """The active version's artifacts."""
     reg = Registry(spark, model_root)
