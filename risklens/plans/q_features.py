@@ -31,8 +31,14 @@ def master(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      T.student_vle(spark, sf_dir))
 
 
+def region_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region codes fitted on the demographics table (the master table has
+    the same rows and regions, without its three aggregates)."""
+    return encode.fit_region_codes(T.student_info(spark, sf_dir))
+
+
 def encoded_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode.encode_demographics(master(spark, sf_dir))
+    return encode.encode_demographics(master(spark, sf_dir), region_codes(spark, sf_dir))
 
 
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +239,7 @@ def q_coerce_numeric(spark, sf_dir):
 @query("encode_region", feature_sql("region_codes", "SELECT * FROM region_codes"))
 def q_encode_region(spark, sf_dir):
     """Region codes from the sorted distinct regions."""
-    return encode.fit_region_codes(master(spark, sf_dir))
+    return region_codes(spark, sf_dir)
 
 
 @query("encode_demographics", feature_sql("encoded", f"""
@@ -390,7 +396,7 @@ def q_batch_features(spark, sf_dir):
     from risklens.plans.batch import batch_features
     rows = training_rows(spark, sf_dir)
     scaler = scaling.ScalerModel.fit(rows.where(~F.col("is_test")))
-    codes = encode.fit_region_codes(master(spark, sf_dir))
+    codes = region_codes(spark, sf_dir)
     up, _ = normalize_upload(upload_frame(spark, sf_dir), require=False)
     return batch_features(up, codes, scaler).select("student_id", *C.FEATURES).withColumns(
         r6(C.SCALED_FEATURES))

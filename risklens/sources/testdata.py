@@ -166,7 +166,10 @@ def students(spark: SparkSession, sf_dir: str) -> DataFrame:
     from risklens.operators.reports import latest_prediction
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey",
                                                  "c_mktsegment")
-    latest = latest_prediction(predictions(spark, sf_dir)).select(
+    # only the columns the state row needs go into the latest-row aggregate
+    preds = predictions(spark, sf_dir).select("id", "student_id", "prediction_date",
+                                              "risk_level", "confidence_score")
+    latest = latest_prediction(preds).select(
         "student_id", "risk_level", "confidence_score", "prediction_date")
     base = c.select(F.col("c_custkey").cast("string").alias("student_id"),
                     F.col("c_name").alias("name"),
