@@ -32,33 +32,42 @@ def vle_daily(vle: DataFrame) -> DataFrame:
             .agg(F.sum("sum_click").alias("clicks")))
 
 
-def vle_engagement(vle: DataFrame) -> DataFrame:
-    """A1: total clicks, distinct active days and last active day per student
-    (distinct days are exact; no double counting across input splits)."""
-    daily = vle_daily(vle)
+def engagement_from_daily(daily: DataFrame) -> DataFrame:
     return daily.groupBy(*KEYS).agg(
         F.sum("clicks").alias("sum_clicks"),
         F.count(F.lit(1)).alias("days_active"),
         F.max("date").alias("last_active_day"))
 
 
-def weekly_clicks(vle: DataFrame) -> DataFrame:
-    """A3: clicks per student and week (week = floor(day / 7))."""
-    daily = vle_daily(vle)
+def weekly_from_daily(daily: DataFrame) -> DataFrame:
     return (daily.groupBy(*KEYS, floor_week("date").alias("week"))
             .agg(F.sum("clicks").alias("clicks")))
 
 
-def click_trend(vle: DataFrame) -> DataFrame:
-    """A4: least-squares slope of weekly clicks over active weeks; 0 when
-    fewer than 2 weeks are active."""
-    weekly = weekly_clicks(vle)
-    return weekly.groupBy(*KEYS).agg(
+def trend_from_daily(daily: DataFrame) -> DataFrame:
+    return weekly_from_daily(daily).groupBy(*KEYS).agg(
         F.when(F.count(F.lit(1)) >= 2,
                F.regr_slope(F.col("clicks").cast("double"), F.col("week").cast("double")))
         .otherwise(F.lit(0.0)).alias("click_trend"))
 
 
+def vle_engagement(vle: DataFrame) -> DataFrame:
+    """A1: total clicks, distinct active days and last active day per student
+    (distinct days are exact; no double counting across input splits)."""
+    return engagement_from_daily(vle_daily(vle))
+
+
+def weekly_clicks(vle: DataFrame) -> DataFrame:
+    """A3: clicks per student and week (week = floor(day / 7))."""
+    return weekly_from_daily(vle_daily(vle))
+
+
+def click_trend(vle: DataFrame) -> DataFrame:
+    """A4: least-squares slope of weekly clicks over active weeks; 0 when
+    fewer than 2 weeks are active."""
+    return trend_from_daily(vle_daily(vle))
+
+
 def weighted_avg_score(student_assessment: DataFrame, assessments: DataFrame) -> DataFrame:
     """sum(score * weight) / sum(weight) per student, 0 when the weight
     sum is not positive. Bad score text counts as 0; a missing weight as 0.
@@ -90,8 +99,11 @@ def master_features(student_info: DataFrame, student_assessment: DataFrame | Non
     else:
         master = master.withColumn("weighted_avg_score", F.lit(0.0))
     if vle is not None:
-        master = (master.join(vle_engagement(vle), KEYS, "left")
-                  .join(click_trend(vle), KEYS, "left"))
+        # one daily table feeds both aggregates: the click log is scanned and
+        # shuffled once (the second use reuses the exchange)
+        daily = vle_daily(vle)
+        master = (master.join(engagement_from_daily(daily), KEYS, "left")
+                  .join(trend_from_daily(daily), KEYS, "left"))
     else:
         master = master.select("*", F.lit(0).cast("bigint").alias("sum_clicks"),
                                F.lit(0).cast("bigint").alias("days_active"),
