@@ -85,15 +85,12 @@ class Registry:
     def previous_version(self) -> int | None:
         """The version that was active before the current one."""
         reg = self.read().where(F.col("event").isin("activated", "rolled_back"))
-        rows = reg.orderBy(F.col("event_time").desc()).select("version").limit(50).collect()
-        seen = [r.version for r in rows]
-        if not seen:
+        cur = reg.agg(F.max_by("version", "event_time").alias("v")).first().v
+        if cur is None:
             return None
-        cur = seen[0]
-        for v in seen[1:]:
-            if v != cur:
-                return v
-        return None
+        # newest activation of any other version
+        return reg.where(F.col("version") != cur).agg(
+            F.max_by("version", "event_time").alias("v")).first().v
 
     def rollback(self) -> int | None:
         """Re-activate the previous version (appends an event)."""
