@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +20,15 @@ BATCH_BYTES = 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches of whole texts to BATCH_ROWS rows and BATCH_BYTES bytes."""
+    """Hold Arrow batches of whole texts to BATCH_ROWS rows and BATCH_BYTES bytes,
+    and let Python workers import this package from the driver's place (a local
+    session or a shared installation; an installed package needs no path)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
@@ -37,8 +45,9 @@ def stored(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` (file sizes for a scan)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """Catalyst's size of what ``df`` reads (file sizes for scans)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
 
 
 def partitions_for(spark: SparkSession, nbytes: float, target: int = 32 << 20) -> int:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risklens.llm.common import stored
+from risklens.llm.common import bounded_batches, stored
 
 #: Mean number of digests in a shard; bounds the memory of a lookup group.
 SHARD_DIGESTS = 8192
@@ -149,6 +149,7 @@ def lookup(index: DataFrame, distinct: DataFrame, shards: int) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, history: DataFrame, arrivals: DataFrame) -> DataFrame:
     """One row per row of both: doc_id, digest, slot, keep_id, group_size, kept."""
+    bounded_batches(spark)
     past = stored(spark, distinct_digests(with_digest(history)), "past")
     shards = max(1, -(-past.count() // SHARD_DIGESTS))
     index = build_index(spark, past, shards)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from risklens.llm import exact_dedup, language_id, pieces, token_counts
+from risklens.llm import exact_dedup, jaccard_join, language_id, pieces, token_counts
 
 QUERIES = {
     "op1_sentencepiece": (pieces.query, None),
     "op2_language_id": (language_id.query, None),
     "op5_exact_dedup": (exact_dedup.query, exact_dedup.SQL),
     "op6_token_counts": (token_counts.query, None),
+    "op8_jaccard_join": (jaccard_join.query, None),
 }
