@@ -7,17 +7,22 @@ Unrelated texts share nothing, so their distance to any pivot is exactly 1 and
 no triangle inequality tells them apart. Regions are therefore opened from the
 sets themselves: a set is cut into classes by a hash of its shingles, with one
 class more than linked sets can differ in, so linked sets have an equal class.
-Sets with an equal class form a region around the one of least id, its pivot,
-and ``metric_join`` works the regions out (distances to pivots, Voronoi cells,
-windows, recursion). Nothing is dropped, capped or sampled.
+Sets with an equal class form a region around the one of least id, its pivot
+(in two steps, first in a task, then over all), and ``metric_join`` works the
+regions out (distances to pivots, Voronoi cells, windows, recursion). Boundary
+documents, whose region holds several components, meet again in finer regions:
+by the rarest of their shingles, of which two linked sets share one among their
+first ``size - needed overlap + 1``. Nothing is dropped, capped or sampled.
 
 Details of the classes: sizes lie in shells, each ``100 / percent`` wider than
 the last; ends of a link are in the same or in adjacent shells, so a set writes
 the classes of its own shell and of the one below. Linked sets of a shell differ
 in at most k shingles; with k + 1 + e classes they agree in e + 1 or more, and
-a set with at most e empty classes has a nonempty one among them. A set with
-more empty classes also writes the classes of a further hash, until it has no
-more than e. (Of two linked sets, the one that needs fewer hashes proves it.)
+a set with at most e thin classes (under 2 shingles, in small sets 1) has a full one among
+them. Only full classes are written: a thin one may hold nothing but a piece of
+a passage that many texts quote. A set with more thin classes also writes the
+classes of a further hash, until it has no more than e. (Of two linked sets,
+the one that needs fewer hashes proves it.)
 
 Signatures travel as packed blobs, some per task and bucket, not as rows.
 
@@ -33,14 +38,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from risklens.llm.common import batch_rows, bounded_batches, input_bytes, partitions_for, stored
 from risklens.llm.components import components
-from risklens.llm.metric_join import connect
+from risklens.llm.metric_join import SMALL, connect
 from risklens.llm.shingles import mix, overlap, set_id, shingle_set
 
+#: (least size of a shell, shingles that a class needs to be written, thin classes
+#: allowed for each possible difference): large sets can ask for more.
+FULL = ((12, 2, 0.16), (1, 1, 0.05))
 #: Signatures that a task holds before it writes blobs.
 FLUSH = 1 << 20
 #: Bytes of signatures for a byte of stored input, seen on prose; sizes partitions only.
@@ -64,12 +72,13 @@ class Signer:
         self.percent, self.bounds = percent, shells(percent, 1 << 12)
         self.edges = np.array(self.bounds)
 
-    def plan(self, shell: int) -> tuple[int, int]:
-        """Classes of a shell and how many of them may be empty."""
+    def plan(self, shell: int) -> tuple[int, int, int]:
+        """Classes of a shell, how many of them may be thin, and what isn't thin."""
         total = self.bounds[shell + 1] + self.bounds[shell + 2] - 2
         k = (100 - self.percent) * total // (100 + self.percent)
-        spare = 0 if k == 0 else 1 + k // 200
-        return k + 1 + spare, spare
+        need, rate = next((need, rate) for least, need, rate in FULL if self.bounds[shell] >= least)
+        spare = 0 if k == 0 else 1 + int(k * rate)
+        return k + 1 + spare, spare, need if k else 1
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         n = len(s)
@@ -79,7 +88,7 @@ class Signer:
         own = int(np.searchsorted(self.edges, n, "right")) - 1
         mixed, out = mix(s), []
         for shell in {max(own - 1, 0), own}:
-            classes, spare = self.plan(shell)
+            classes, spare, need = self.plan(shell)
             seed = 0
             while True:
                 odd = np.uint64((0xD6E8FEB86659FD93 + 2 * seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
@@ -87,7 +96,7 @@ class Signer:
                 at = at.astype(np.int64)
                 sums = np.zeros(classes, np.uint64)
                 np.add.at(sums, at, mixed)
-                full = np.flatnonzero(np.bincount(at, minlength=classes))
+                full = np.flatnonzero(np.bincount(at, minlength=classes) >= need)
                 salt = np.uint64(((shell << 40) ^ (seed << 32)) & 0xFFFFFFFFFFFFFFFF)
                 out.append(mix(mix(sums[full]) + full.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt))
                 if classes - len(full) <= spare:
@@ -114,16 +123,36 @@ def star_pairs(spark: SparkSession, docs: DataFrame, size: int, percent: int) ->
     buckets = 4 * parts
     entry = np.dtype([("sig", "<u8"), ("id", "<i8")])
 
-    def packed(sigs: list, ids: list) -> Iterator[dict]:
-        if sigs:
-            rows = np.empty(sum(map(len, sigs)), entry)
-            rows["sig"], rows["id"] = np.concatenate(sigs), np.repeat(np.array(ids, np.int64), [len(s) for s in sigs])
-            bucket = (rows["sig"] >> np.uint64(20)) % np.uint64(buckets)
+    def star(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Distinct (least id of the class, other id) of rows sorted by class and id."""
+        pivot = rows["id"][np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))]
+        pairs = np.stack([pivot, rows["id"]], axis=1)
+        return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+
+    def blobs_of(rows: np.ndarray, key: np.ndarray) -> Iterator[dict]:
+        if len(rows):
+            bucket = (mix(key) >> np.uint64(20)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             yield {"bucket": bucket[np.r_[0, cuts]].astype(np.int64), "entries": [r.tobytes() for r in np.split(rows, cuts)]}
 
+    def packed(sigs: list, ids: list) -> Iterator[dict]:
+        """Of sets with an equal class only the least goes on to meet other tasks'
+        sets; the others are its star here, so a hot class stays small."""
+        if not sigs:
+            return
+        rows = np.empty(sum(map(len, sigs)), entry)
+        rows["sig"], rows["id"] = np.concatenate(sigs), np.repeat(np.array(ids, np.int64), [len(s) for s in sigs])
+        rows = rows[np.lexsort((rows["id"], rows["sig"]))]
+        first = np.r_[True, rows["sig"][1:] != rows["sig"][:-1]]
+        yield from blobs_of(rows[first], rows["sig"][first])
+        pairs = star(rows, first)
+        own = np.zeros(len(pairs), entry)
+        own["sig"], own["id"] = pairs[:, 0].view(np.uint64), pairs[:, 1]
+        for part in blobs_of(own, own["sig"]):
+            yield part | {"bucket": -1 - part["bucket"]}  # pairs, not classes
+
     def sign(batches) -> Iterator[dict]:
         signer, seen, sigs, ids, held = Signer(percent), set(), [], [], 0
         for b in batches:
@@ -142,21 +171,18 @@ def star_pairs(spark: SparkSession, docs: DataFrame, size: int, percent: int) ->
         yield from packed(sigs, ids)
 
     def meet(batches) -> Iterator[dict]:
-        raw = [np.frombuffer(x.as_py(), entry) for b in batches for x in b.column(1)]
-        if not raw:
-            return
-        rows = np.concatenate(raw)
-        del raw
+        raw: tuple[list, list] = ([], [])
+        for t in batches:
+            for bucket, x in zip(t.column(0).to_pylist(), t.column(1)):
+                raw[bucket < 0].append(np.frombuffer(x.as_py(), entry))
+        rows = np.concatenate(raw[0] or [np.empty(0, entry)])
         rows = rows[np.argsort(rows["sig"], kind="stable")]
         same = rows["sig"][1:] == rows["sig"][:-1]
         rows = rows[np.r_[same, False] | np.r_[False, same]] if len(rows) > 1 else rows[:0]
-        if not len(rows):
-            return
         rows = rows[np.lexsort((rows["id"], rows["sig"]))]
-        first = np.r_[True, rows["sig"][1:] != rows["sig"][:-1]]
-        pivot = rows["id"][np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))]
-        pairs = np.stack([pivot, rows["id"]], axis=1)
-        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+        pairs = star(rows, np.r_[True, rows["sig"][1:] != rows["sig"][:-1]]) if len(rows) else np.empty((0, 2), np.int64)
+        local = np.concatenate(raw[1] or [np.empty(0, entry)])
+        pairs = np.unique(np.concatenate([pairs, np.stack([local["sig"].view(np.int64), local["id"]], axis=1)]), axis=0)
         for k in range(0, len(pairs), 100_000):
             yield {"a": pairs[k:k + 100_000, 0], "b": pairs[k:k + 100_000, 1]}
 
@@ -165,6 +191,41 @@ def star_pairs(spark: SparkSession, docs: DataFrame, size: int, percent: int) ->
     return pairs.distinct()
 
 
+def rare_regions(spark: SparkSession, items: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """(region, id, rest, n): the items ``ids`` by the rarest shingles of each.
+
+    In one order of all shingles (by how many of these items hold them, then by
+    value), two sets that link share a shingle among the first ``n - needed + 1``
+    of each, where needed is the least possible overlap. ``rest`` counts the
+    shingles from this one on. Shingles that one item holds come first in the
+    order and lead nowhere, so they count but aren't written.
+    """
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("region", pa.int64())])
+
+    def run(batches) -> Iterator[dict]:
+        for b in batches:
+            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                s = np.frombuffer(raw, np.int64)
+                for k in range(0, len(s), 100_000):
+                    part = s[k:k + 100_000]
+                    yield {"id": np.full(len(part), i), "n": np.full(len(part), len(s)), "region": part}
+
+    rows = items.join(ids, "id").select("id", "payload").mapInArrow(batch_rows(run, schema), "id long, n long, region long")
+    held = rows.groupBy("region").agg(F.count("*").alias("held")).where("held > 1")
+    mine = Window.partitionBy("id")
+    ranked = rows.join(held, "region").withColumns({
+        "rank": F.row_number().over(mine.orderBy("held", "region")), "shared": F.count("*").over(mine)})
+    rest = F.col("shared") - F.col("rank") + 1
+    needed = F.floor((F.col("n") * percent + 99) / 100)  # of the smallest partner that can link
+    return ranked.withColumn("rest", rest).where(F.col("rest") >= needed).select("region", "id", "rest", "n")
+
+
+def overlap_possible(percent: int):
+    """What is left from the shared shingle on reaches the overlap that sizes ask for."""
+    needed = F.ceil((F.col("x_n") + F.col("y_n")) * percent / (100 + percent) - 1e-6)
+    return F.least("x_rest", "y_rest") >= needed
+
+
 def jaccard_distance(percent: int):
     def distance(x: bytes, y: bytes) -> tuple[bool, float]:
         a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -174,7 +235,7 @@ def jaccard_distance(percent: int):
     return distance
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 4, percent: int = 85, small: int | None = None) -> DataFrame:
+def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 4, percent: int = 85, small: int = SMALL) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -185,7 +246,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 4, perc
     wanted = named.join(ends, "id")
     items = set_items(spark, docs, wanted, size)
     links = connect(spark, stars, items, jaccard_distance(percent), (100 - percent) / 100, float(np.log(100 / percent)),
-                    **({} if small is None else {"small": small}))
+                    lambda ids: rare_regions(spark, items, ids, percent), lambda: overlap_possible(percent), small)
     comp = components(spark, links)
     groups = named.join(comp, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "doc_id")
     least = groups.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

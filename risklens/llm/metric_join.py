@@ -1,20 +1,25 @@
 """Metric-space join by pivots: Voronoi regions, windows, recursion.
 
-Input are star pairs (pivot, member): regions that hold every possible link
-(two items that link are together in the region of at least one pivot). The
-work of ``connect``:
+Input are star pairs (pivot, member): two items that link are together in the
+region of at least one pivot, or in regions whose pivots are together in one.
+The work of ``connect``:
 
 1. Measure every member's distance to its region's pivot. Members within the
    radius link to it, and so to each other, without a test of their pairs.
-2. A region whose members are all in one component is finished. Otherwise its
-   members go on. A large region is cut: further pivots are measured against
-   all members, every member goes to its nearest pivot's cell and, where its
-   distance is within twice the radius of the nearest, to that pivot's cell
-   too. By the triangle inequality both ends of a link then share a cell.
-   Cells are regions of the next level.
-3. In small regions (or those that cells don't make smaller), two members of
-   different components are compared if their distances to the pivot differ
-   by no more than the radius, which the triangle inequality asks of a link.
+2. A region whose members are all in one component is finished. The members of
+   the others, and of regions around them, are open: boundary items, which may
+   have links across components.
+3. The open items are dealt into finer regions (``refine``). In each, the
+   largest component is the inside and the other members are the outside. Where
+   more than SMALL members are outside, the region is cut: pivots are drawn and
+   measured against all members, every member goes to its nearest pivot's cell
+   and, where its distance is within twice the radius of the nearest, to that
+   pivot's cell too, so by the triangle inequality both ends of a link share a
+   cell. Cells are cut again, up to LEVELS times, while that makes them smaller.
+4. In the regions that remain, outside members are compared with members of
+   other components that ``may_link`` and the windows don't rule out: ends of a
+   link differ by at most ``width`` in size and by at most the radius in their
+   distance to the cell's pivot.
 
 No link between different components is lost, whatever the sizes; links inside
 one component aren't all listed.
@@ -31,11 +36,11 @@ from pyspark.sql import functions as F
 from risklens.llm.common import batch_rows, stored
 from risklens.llm.components import components
 
-#: A region of at most so many members is compared directly; a larger one is
-#: cut by about PIVOTS further pivots, at most LEVELS times.
+#: A region with at most so many members outside its largest component is
+#: compared directly; others are cut by about PIVOTS pivots, at most LEVELS times.
 SMALL = 64
 PIVOTS = 8
-LEVELS = 6
+LEVELS = 4
 #: Cells must hold no more than so many times their region's members.
 OVERLAP = 2.0
 SLACK = 1e-9
@@ -63,65 +68,90 @@ def _with_comp(rows: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def _open(rows: DataFrame) -> DataFrame:
-    """Members of regions (region, id, d, comp) that hold several components."""
-    mixed = rows.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    return rows.join(mixed.select("region", "size"), "region")
-
-
-def _ordered(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def open_items(measured: DataFrame, comp: DataFrame) -> DataFrame:
+    """(id): members of star regions that hold several components, and members
+    of regions whose pivot is one of those."""
+    stars = measured.select(F.col("a").alias("pivot"), F.col("b").alias("id"))
+    ends = _with_comp(_with_comp(stars, comp).select("pivot", F.col("comp").alias("own"), F.col("pivot").alias("id")), comp)
+    mixed = ends.where("own <> comp").select("pivot").distinct()
+    inside = stars.join(mixed, "pivot")
+    first = inside.select("id").union(inside.select("pivot")).distinct()
+    around = stars.join(first.withColumnRenamed("id", "pivot"), "pivot", "left_semi").select("id")
+    return first.union(around).distinct()
+
+
+def _sided(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows of regions that hold several components, with their component, whether
+    they are outside the region's largest one, and how many are."""
+    rows = _with_comp(rows, comp)
+    parts = rows.groupBy("region", "comp").agg(F.count("*").alias("n"))
+    main = (parts.groupBy("region").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most"))
+            .where("size > most").select("region", "main", "size", (F.col("size") - F.col("most")).alias("outside")))
+    return rows.join(main, "region").withColumn("out", F.col("comp") != F.col("main")).drop("main")
+
+
+def _cut(spark: SparkSession, large: DataFrame, level: int, items: DataFrame, distance: Callable, radius: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Voronoi cells of ``large`` regions: (cells, regions that cells don't make
+    smaller, links met on the way)."""
+    draw = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30))
+    drawn = large.withColumn("draw", draw)
+    # every region's member of least hash, and others with a chance of PIVOTS / size
+    first = drawn.groupBy("region").agg(F.min_by("id", "draw").alias("pivot"))
+    more = drawn.where(F.col("draw") * F.col("size") < F.lit(float(PIVOTS << 30))).select("region", F.col("id").alias("pivot"))
+    spread = large.drop("d", "comp", "size", "out", "outside").join(first.unionByName(more).distinct(), "region").withColumns(
+        {"a": F.least("id", "pivot"), "b": F.greatest("id", "pivot")})
+    near = measure(spark, spread.where("a <> b").select("a", "b").distinct(), items, distance)
+    d = stored(spark, spread.join(near.drop("link"), ["a", "b"], "left").withColumn("d", F.coalesce("d", F.lit(0.0))).drop("a", "b"), "spread")
+    nearest = d.groupBy("region", "id").agg(F.min("d").alias("least"))
+    cells = d.join(nearest, ["region", "id"]).where(F.col("d") <= F.col("least") + 2 * radius + SLACK).drop("least")
+    held = cells.groupBy("region").agg(F.count("*").alias("held"))
+    fit = held.join(large.select("region", "size").distinct(), "region").where(F.col("held") <= OVERLAP * F.col("size")).select("region")
+    inside = cells.join(fit, "region", "left_semi").withColumn("region", F.xxhash64("region", "pivot", F.lit(level))).drop("pivot")
+    return inside, large.join(fit, "region", "left_anti"), near.where("link").select("a", "b")
 
 
 def connect(spark: SparkSession, stars: DataFrame, items: DataFrame, distance: Callable, radius: float,
-            width: float, small: int = SMALL) -> DataFrame:
+            width: float, refine: Callable[[DataFrame], DataFrame], may_link: Callable | None = None, small: int = SMALL) -> DataFrame:
     """Links (a, b) whose components are those of all links.
 
     ``stars`` (a, b): pivot and member. ``items`` (id, payload, size): ``size``
     is a coordinate in which the ends of a link differ by at most ``width``.
+    ``refine(ids)`` deals open items into regions (region, id, ...) that hold all
+    their links; ``may_link()`` is a condition on two rows of a region, from the
+    columns that refine added (prefixed x_ and y_), which every link meets in
+    some region.
     """
     measured = measure(spark, stars, items, distance)
     links = measured.where("link").select("a", "b")
     comp = components(spark, links)
-    work = measured.select(F.col("a").alias("region"), F.col("b").alias("id"), "d").unionByName(
-        measured.select(F.col("a").alias("region"), F.col("a").alias("id"), F.lit(0.0).alias("d")).distinct())
-    work = stored(spark, _open(_with_comp(work, comp)), "open")
-    final = None  # regions that aren't cut further
+    ids = stored(spark, open_items(measured, comp), "open")
+    fine = refine(ids).join(items.select("id", F.col("size").alias("at")), "id").withColumn("d", F.lit(0.0))
+    fine = stored(spark, fine, "fine")
+    work, final = stored(spark, _sided(fine, comp), "work"), []
     for level in range(LEVELS):
-        large = work.where(F.col("size") > small)
-        done = work.where(F.col("size") <= small)
-        final = done if final is None else final.unionByName(done)
+        large = work.where(F.col("outside") > small)
+        final.append(work.where(F.col("outside") <= small))
         if large.isEmpty():
             work = None
             break
-        # every region's member of least hash, and others with a chance of PIVOTS / size
-        draw = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30))
-        drawn = large.withColumn("draw", draw)
-        first = drawn.groupBy("region").agg(F.min_by("id", "draw").alias("pivot"))
-        more = drawn.where(F.col("draw") * F.col("size") < F.lit(float(PIVOTS << 30))).select("region", F.col("id").alias("pivot"))
-        pivots = first.unionByName(more).distinct()
-        spread = large.select("region", "id", "size").join(pivots, "region")
-        near = measure(spark, spread.where("id <> pivot").select(*_ordered("id", "pivot")).distinct(), items, distance)
-        links = links.unionByName(near.where("link").select("a", "b"))
-        d = spread.withColumns({"a": F.least("id", "pivot"), "b": F.greatest("id", "pivot")}).join(near, ["a", "b"], "left").select(
-            "region", "id", "pivot", "size", F.coalesce("d", F.lit(0.0)).alias("d"))
-        d = stored(spark, d, "spread")
-        nearest = d.groupBy("region", "id").agg(F.min("d").alias("least"))
-        cells = d.join(nearest, ["region", "id"]).where(F.col("d") <= F.col("least") + 2 * radius + SLACK)
-        fit = cells.groupBy("region").agg(F.count("*").alias("held"), F.max("size").alias("size"))
-        cut = fit.where(F.col("held") <= OVERLAP * F.col("size")).select("region")
-        final = final.unionByName(large.join(cut, "region", "left_anti"))
+        inside, whole, found = _cut(spark, large, level, items, distance, radius)
+        final.append(whole)
+        links = links.unionByName(found)
         comp = components(spark, links)
-        inside = cells.join(cut, "region", "left_semi").select(F.xxhash64("region", "pivot", F.lit(level)).alias("region"), "id", "d")
-        work = stored(spark, _open(_with_comp(inside, comp)), "open")
+        work = stored(spark, _sided(inside, comp), "work")
     if work is not None:
-        final = final.unionByName(work)
-    fresh = final.drop("comp", "size")
-    held = stored(spark, _open(_with_comp(fresh, comp)).join(items.select("id", F.col("size").alias("at")), "id"), "final")
-    x = held.select("region", F.col("id").alias("a"), F.col("d").alias("da"), F.col("comp").alias("ca"), F.col("at").alias("sa"))
-    y = held.select("region", F.col("id").alias("b"), F.col("d").alias("db"), F.col("comp").alias("cb"), F.col("at").alias("sb"))
-    # a distance of 0 is the pivot's own (other items differ from it): measured already
-    close = ((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("da") > 0) & (F.col("db") > 0)
-             & (F.abs(F.col("da") - F.col("db")) <= radius + SLACK) & (F.abs(F.col("sa") - F.col("sb")) <= width + SLACK))
-    rest = x.join(y, "region").where(close).select("a", "b").distinct()
+        final.append(work)
+    rows = final[0]
+    for part in final[1:]:
+        rows = rows.unionByName(part)
+    rows = rows.drop("comp", "out", "outside", "size")
+    held = stored(spark, _sided(rows, comp), "final")
+    x = held.where("out").select([F.col(c).alias(f"x_{c}") for c in held.columns])
+    y = held.select([F.col(c).alias(f"y_{c}") for c in held.columns])
+    close = ((F.col("x_region") == F.col("y_region")) & (F.col("x_comp") != F.col("y_comp"))
+             & (~F.col("y_out") | (F.col("x_id") < F.col("y_id")))
+             & (F.abs(F.col("x_d") - F.col("y_d")) <= radius + SLACK) & (F.abs(F.col("x_at") - F.col("y_at")) <= width + SLACK))
+    if may_link is not None:
+        close = close & may_link()
+    rest = x.join(y, close).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
     return links.unionByName(measure(spark, rest, items, distance).where("link").select("a", "b"))
