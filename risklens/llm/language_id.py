@@ -36,6 +36,8 @@ STEPS = 300
 TRAIN_LANES = 160
 HELD_OUT_REMAINDER = 2
 UNKNOWN = "und"
+#: The pipeline rejects documents whose best language has less of the positions.
+MIN_SCORE = 0.35
 
 
 def letter_weights() -> np.ndarray:
@@ -251,6 +253,18 @@ def training_sample(docs: DataFrame) -> list[tuple[bytes, str]]:
     return sorted((r["text"].encode("utf-8"), r["lang"]) for r in rows)
 
 
+def label(net: ByteNet | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Language and score of each text."""
+    known = np.array([net is not None and bool(t) and any(map(str.isalpha, t)) for t in texts], bool)
+    lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    at = np.flatnonzero(known)
+    if len(at):
+        p = document_probabilities(net, [texts[i].encode("utf-8") for i in at])
+        for i, row in zip(at.tolist(), p):
+            lang[i], score[i] = net.langs[int(row.argmax())], min(1.0, float(row.max()))
+    return lang, score
+
+
 def predict(spark: SparkSession, docs: DataFrame, net: ByteNet | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of ``docs``."""
     bounded_batches(spark)
@@ -258,16 +272,9 @@ def predict(spark: SparkSession, docs: DataFrame, net: ByteNet | None) -> DataFr
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches) -> Iterator[dict]:
-        own = shared.value
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            known = np.array([own is not None and bool(t) and any(map(str.isalpha, t)) for t in texts], bool)
-            lang, score = [UNKNOWN] * len(ids), [0.0] * len(ids)
-            at = np.flatnonzero(known)
-            if len(at):
-                p = document_probabilities(own, [texts[i].encode("utf-8") for i in at])
-                for i, row in zip(at.tolist(), p):
-                    lang[i], score[i] = own.langs[int(row.argmax())], min(1.0, float(row.max()))
+            ids = b.column(0).to_pylist()
+            lang, score = label(shared.value, b.column(1).to_pylist())
             yield {"doc_id": ids, "held_out": [held_out(i) for i in ids], "lang_pred": lang, "score": score}
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
@@ -280,3 +287,17 @@ def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: documents in a known language stay, as they are; those
+    without letters or with a score under MIN_SCORE go."""
+    bounded_batches(spark)
+    shared, at = spark.sparkContext.broadcast(train(training_sample(docs))), docs.columns.index("text")
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lang, score = label(shared.value, b.column(at).to_pylist())
+            yield b.filter(pa.array([k != UNKNOWN and s >= MIN_SCORE for k, s in zip(lang, score)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

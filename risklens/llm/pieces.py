@@ -183,12 +183,12 @@ def codec(model: bytes) -> PieceCodec:
 
 def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of ``docs``
-    (and with ``keep_ids`` the ids themselves and the decoded text)."""
+    (and with ``keep_ids`` the ids themselves)."""
     bounded_batches(spark)
     with open(model_path, "rb") as f:
         model = spark.sparkContext.broadcast(f.read())  # a vocabulary file: its size doesn't follow the data
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-                       + ([("ids", pa.list_(pa.int32())), ("decoded", pa.string())] if keep_ids else []))
+                       + ([("ids", pa.list_(pa.int32()))] if keep_ids else []))
 
     def run(batches) -> Iterator[dict]:
         own = codec(model.value)
@@ -198,10 +198,12 @@ def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str, keep
                     "ids_sha256": [hashlib.sha256(i).hexdigest() for i, _ in rows],
                     "decoded_sha256": [hashlib.sha256(t.encode("utf-8")).hexdigest() for _, t in rows]}
             if keep_ids:
-                cols |= {"ids": [np.frombuffer(i, "<u4").astype(np.int32) for i, _ in rows], "decoded": [t for _, t in rows]}
+                flat = np.frombuffer(b"".join([i for i, _ in rows]), "<u4").astype(np.int32)
+                ends = np.cumsum([0] + [len(i) // 4 for i, _ in rows], dtype=np.int32)
+                cols |= {"ids": pa.ListArray.from_arrays(ends, flat)}
             yield cols
 
-    ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
+    ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(batch_rows(run, schema), ddl)
 
 
@@ -212,3 +214,8 @@ def default_model() -> str:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), default_model())
+
+
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the documents as ids, with the digests of ids and decoded text."""
+    return encode_documents(spark, docs, default_model(), keep_ids=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from risklens.llm import exact_dedup, jaccard_join, language_id, pieces, token_counts
+from risklens.llm import decontaminate, exact_dedup, jaccard_join, language_id, pieces, token_counts
 
 QUERIES = {
     "op1_sentencepiece": (pieces.query, None),
@@ -10,4 +10,5 @@ QUERIES = {
     "op5_exact_dedup": (exact_dedup.query, exact_dedup.SQL),
     "op6_token_counts": (token_counts.query, None),
     "op8_jaccard_join": (jaccard_join.query, None),
+    "op10_decontaminate": (decontaminate.query, None),
 }

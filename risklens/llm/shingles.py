@@ -9,6 +9,8 @@ _BASE = 0x9E3779B97F4A7C55
 _MASK = (1 << 64) - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything of ASCII but letters and digits: words without punctuation.
+PUNCTUATION = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -28,13 +30,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A hash of each word ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased."""
+def word_hashes(text: str, between: np.ndarray = _SPACE) -> np.ndarray:
+    """A hash of each word of the text with A-Z lower-cased; ``between`` marks the
+    bytes that part words (``[\\x20\\x09-\\x0D]`` by default)."""
     raw = text.encode("utf-8").lower()  # of bytes: ASCII letters only
     b = np.frombuffer(raw, np.uint8)
     inside = np.empty(len(b) + 2, bool)
     inside[0] = inside[-1] = False
-    np.logical_not(_SPACE[b], out=inside[1:-1])
+    np.logical_not(between[b], out=inside[1:-1])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
     power, inverse = _grow(len(b))
