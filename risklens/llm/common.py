@@ -45,9 +45,11 @@ def stored(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size of what ``df`` reads (file sizes for scans)."""
+    """Catalyst's size of what ``df`` reads (file sizes for scans; leaves of
+    unknown size, such as rows of the driver, count as nothing)."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)
 
 
 def partitions_for(spark: SparkSession, nbytes: float, target: int = 32 << 20) -> int:

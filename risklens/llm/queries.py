@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from risklens.llm import decontaminate, exact_dedup, jaccard_join, language_id, pieces, token_counts
+from risklens.llm import chat_tree, decontaminate, exact_dedup, jaccard_join, language_id, pieces, token_counts, zip_warc
 
 QUERIES = {
     "op1_sentencepiece": (pieces.query, None),
     "op2_language_id": (language_id.query, None),
+    "op3_chat_tree": (chat_tree.query, chat_tree.SQL),
     "op5_exact_dedup": (exact_dedup.query, exact_dedup.SQL),
     "op6_token_counts": (token_counts.query, None),
+    "op7_zip_warc": (zip_warc.query, None),
     "op8_jaccard_join": (jaccard_join.query, None),
     "op10_decontaminate": (decontaminate.query, None),
 }
