@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from risklens.llm import chat_tree, decontaminate, exact_dedup, jaccard_join, language_id, pieces, token_counts, zip_warc
+from risklens.llm import chat_tree, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, pieces, token_counts, zip_warc
 
 QUERIES = {
     "op1_sentencepiece": (pieces.query, None),
@@ -12,5 +12,6 @@ QUERIES = {
     "op6_token_counts": (token_counts.query, None),
     "op7_zip_warc": (zip_warc.query, None),
     "op8_jaccard_join": (jaccard_join.query, None),
+    "op9_line_dedup": (line_dedup.query, None),
     "op10_decontaminate": (decontaminate.query, None),
 }
