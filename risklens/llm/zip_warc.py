@@ -3,9 +3,9 @@
 Writing: one record for each page. Of pages with equal payloads the one with
 the smallest id is a ``response``, the others are ``revisit`` records that refer
 to it and carry its HTTP header only. Each task writes one package with two
-stored members: ``archive/data.warc`` and ``indexes/index.cdxj`` (a line for each
-record: id, type, offset and length in the archive member). Directories are
-written as ZIP64. A package has a name of its own for each attempt, and only
+stored members: ``archive/data.warc.gz`` (each record a gzip member of its own, as
+usual for WARC) and ``indexes/index.cdxj`` (a line for each record: id, type,
+offset and length in the archive member). Directories are written as ZIP64. A package has a name of its own for each attempt, and only
 the manifest that the job commits names packages, so lost executors and second
 attempts leave no doubt which count.
 
@@ -24,6 +24,7 @@ all responses; empty tables give empty results.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import struct
@@ -38,8 +39,10 @@ from pyspark.sql import functions as F
 
 from risklens.llm.common import batch_rows, bounded_batches, input_bytes, new_path, partitions_for, stored
 
-ARCHIVE, INDEX = "archive/data.warc", "indexes/index.cdxj"
+ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 NO_PAGE = -(1 << 63)
+#: Effort of the records' compression.
+LEVEL = 4
 #: Bytes of records that one reading task takes at a time.
 RANGE_BYTES = 32 << 20
 
@@ -196,7 +199,7 @@ def write_packages(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) ->
                     writer.open(ARCHIVE)
                 alone = first is None or (page == first and (page, digest) != last)
                 last = (page, digest)
-                raw = record(page, url, payload, None if alone else first)
+                raw = gzip.compress(record(page, url, payload, None if alone else first), LEVEL, mtime=0)
                 index.append(json.dumps({"page": page, "type": "response" if alone else "revisit", "offset": writer.size, "length": len(raw)}))
                 writer.write(raw)
         if writer is not None:
@@ -240,7 +243,7 @@ def read_packages(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     if f is not None:
                         f.close()
                     f, name = _opened(package), package
-                rows.append(parse_record(_read(f, at, n)))
+                rows.append(parse_record(gzip.decompress(_read(f, at, n))))
             yield dict(zip(found.names, zip(*rows))) if rows else {c: [] for c in found.names}
         if f is not None:
             f.close()
