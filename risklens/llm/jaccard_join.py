@@ -177,7 +177,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 4, perc
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sets = stored(spark, document_sets(docs, size), "sets")
-    stars = stored(spark, star_pairs(spark, docs, size, percent), "stars")
+    stars = stored(spark, star_pairs_of_sets(spark, docs, size, percent), "stars")
     named = sets.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
     ends = stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id"))).distinct()
     wanted = named.join(ends, "id")
