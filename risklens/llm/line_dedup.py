@@ -206,7 +206,8 @@ def line_classes(spark: SparkSession, docs: DataFrame, edits: int = EDITS, min_c
         d = within(x, y, 3 * edits)  # cut off above: a metric still, with the same links
         return d <= edits, d
 
-    links = connect(spark, stars, items, distance, edits, edits, lambda ids: key_regions(items, ids, edits), None, small)
+    links = connect(spark, stars, items, distance, edits, edits, lambda ids: key_regions(items, ids, edits), None, small,
+                    linked=lambda x, y: within(x, y, edits) <= edits)
     return rows, components(spark, links)
 
 

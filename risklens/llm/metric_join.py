@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,9 @@ from risklens.llm.components import components
 SMALL = 64
 PIVOTS = 8
 LEVELS = 4
+#: Regions up to this size are compared by a join of their members; the members
+#: of larger ones meet block by block, so that their pairs are never rows.
+BLOCK = 96
 #: Cells must hold no more than so many times their region's members.
 OVERLAP = 2.0
 SLACK = 1e-9
@@ -111,7 +115,8 @@ def _cut(spark: SparkSession, large: DataFrame, level: int, items: DataFrame, di
 
 
 def connect(spark: SparkSession, stars: DataFrame, items: DataFrame, distance: Callable, radius: float,
-            width: float, refine: Callable[[DataFrame], DataFrame], may_link: Callable | None = None, small: int = SMALL) -> DataFrame:
+            width: float, refine: Callable[[DataFrame], DataFrame], may_link: Callable | None = None, small: int = SMALL,
+            block: int = BLOCK, linked: Callable | None = None) -> DataFrame:
     """Links (a, b) whose components are those of all links.
 
     ``stars`` (a, b): pivot and member. ``items`` (id, payload, size): ``size``
@@ -119,8 +124,9 @@ def connect(spark: SparkSession, stars: DataFrame, items: DataFrame, distance: C
     ``refine(ids)`` deals open items into regions (region, id, ...) that hold all
     their links; ``may_link()`` is a condition on two rows of a region, from the
     columns that refine added (prefixed x_ and y_), which every link meets in
-    some region.
+    some region. ``linked(payload, payload)``: a cheaper test, if distances aren't needed.
     """
+    linked = linked or (lambda x, y: distance(x, y)[0])
     measured = measure(spark, stars, items, distance)
     links = measured.where("link").select("a", "b")
     comp = components(spark, links)
@@ -146,12 +152,39 @@ def connect(spark: SparkSession, stars: DataFrame, items: DataFrame, distance: C
         rows = rows.unionByName(part)
     rows = rows.drop("comp", "out", "outside", "size")
     held = stored(spark, _sided(rows, comp), "final")
-    x = held.where("out").select([F.col(c).alias(f"x_{c}") for c in held.columns])
-    y = held.select([F.col(c).alias(f"y_{c}") for c in held.columns])
+    direct = held.where(F.col("size") <= block)
+    x = direct.where("out").select([F.col(c).alias(f"x_{c}") for c in held.columns])
+    y = direct.select([F.col(c).alias(f"y_{c}") for c in held.columns])
     close = ((F.col("x_region") == F.col("y_region")) & (F.col("x_comp") != F.col("y_comp"))
              & (~F.col("y_out") | (F.col("x_id") < F.col("y_id")))
              & (F.abs(F.col("x_d") - F.col("y_d")) <= radius + SLACK) & (F.abs(F.col("x_at") - F.col("y_at")) <= width + SLACK))
     if may_link is not None:
         close = close & may_link()
     rest = x.join(y, close).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
-    return links.unionByName(measure(spark, rest, items, distance).where("link").select("a", "b"))
+    found = measure(spark, rest, items, lambda x, y: (linked(x, y), 0.0)).where("link").select("a", "b")
+    wide = _in_blocks(held.where(F.col("size") > block), items, linked, radius, width, block)
+    return links.unionByName(found).unionByName(stored(spark, wide, "wide"))
+
+
+def _in_blocks(held: DataFrame, items: DataFrame, linked: Callable, radius: float, width: float, block: int) -> DataFrame:
+    """Links in regions with more than ``block`` members: members are dealt into blocks,
+    and every two blocks meet in a task of their own, which returns links only."""
+    blocks = F.ceil(F.col("size") / block)
+    rows = held.select("region", "id", "d", "at", "comp", "out", blocks.alias("n"), F.pmod(F.xxhash64("id"), blocks).alias("own"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).join(items.select("id", "payload"), "id")
+
+    def meet(t: pa.Table) -> pa.Table:
+        ids, d, at, comp, out, own, load = (t[c].to_numpy(zero_copy_only=False) for c in ("id", "d", "at", "comp", "out", "own", "payload"))
+        a, b = [], []
+        for k in range(len(ids)):
+            near = ((comp != comp[k]) & (out | out[k]) & (np.abs(d - d[k]) <= radius + SLACK) & (np.abs(at - at[k]) <= width + SLACK) & (ids > ids[k]))
+            if t["lo"][0] != t["hi"][0]:
+                near &= own != own[k]  # pairs inside a block meet in that block's own group
+            for j in np.flatnonzero(near):
+                if linked(load[k], load[j]):
+                    a.append(ids[k])
+                    b.append(ids[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    grouped = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).groupBy("region", "lo", "hi")
+    return grouped.applyInArrow(meet, "a long, b long").distinct()
