@@ -37,6 +37,8 @@ from risklens.llm.metric_join import SMALL, connect
 
 EDITS = 2
 MIN_CHARS = 24
+#: Regions with more lines outside their largest class are compared in blocks.
+DIRECT = 24
 #: Bytes of keys for a byte of stored input, seen on prose; sizes partitions only.
 KEY_RATIO = 1.5
 
@@ -207,7 +209,7 @@ def line_classes(spark: SparkSession, docs: DataFrame, edits: int = EDITS, min_c
         return d <= edits, d
 
     links = connect(spark, stars, items, distance, edits, edits, lambda ids: key_regions(items, ids, edits), None, small,
-                    linked=lambda x, y: within(x, y, edits) <= edits)
+                    direct=DIRECT, linked=lambda x, y: within(x, y, edits) <= edits)
     return rows, components(spark, links)
 
 

@@ -42,9 +42,9 @@ from risklens.llm.components import components
 SMALL = 64
 PIVOTS = 8
 LEVELS = 4
-#: Regions up to this size are compared by a join of their members; the members
-#: of larger ones meet block by block, so that their pairs are never rows.
-BLOCK = 96
+#: Members of a block, where regions are compared block by block: their pairs are
+#: never rows.
+BLOCK = 256
 #: Cells must hold no more than so many times their region's members.
 OVERLAP = 2.0
 SLACK = 1e-9
@@ -116,7 +116,7 @@ def _cut(spark: SparkSession, large: DataFrame, level: int, items: DataFrame, di
 
 def connect(spark: SparkSession, stars: DataFrame, items: DataFrame, distance: Callable, radius: float,
             width: float, refine: Callable[[DataFrame], DataFrame], may_link: Callable | None = None, small: int = SMALL,
-            block: int = BLOCK, linked: Callable | None = None) -> DataFrame:
+            direct: int | None = None, linked: Callable | None = None) -> DataFrame:
     """Links (a, b) whose components are those of all links.
 
     ``stars`` (a, b): pivot and member. ``items`` (id, payload, size): ``size``
@@ -125,6 +125,8 @@ def connect(spark: SparkSession, stars: DataFrame, items: DataFrame, distance: C
     their links; ``may_link()`` is a condition on two rows of a region, from the
     columns that refine added (prefixed x_ and y_), which every link meets in
     some region. ``linked(payload, payload)``: a cheaper test, if distances aren't needed.
+    ``direct``: regions with more members outside are compared block by block
+    (None: ``may_link`` leaves few pairs, so all are compared by a join).
     """
     linked = linked or (lambda x, y: distance(x, y)[0])
     measured = measure(spark, stars, items, distance)
@@ -152,9 +154,9 @@ def connect(spark: SparkSession, stars: DataFrame, items: DataFrame, distance: C
         rows = rows.unionByName(part)
     rows = rows.drop("comp", "out", "outside", "size")
     held = stored(spark, _sided(rows, comp), "final")
-    direct = held.where(F.col("size") <= block)
-    x = direct.where("out").select([F.col(c).alias(f"x_{c}") for c in held.columns])
-    y = direct.select([F.col(c).alias(f"y_{c}") for c in held.columns])
+    few = held if direct is None else held.where(F.col("outside") <= direct)
+    x = few.where("out").select([F.col(c).alias(f"x_{c}") for c in held.columns])
+    y = few.select([F.col(c).alias(f"y_{c}") for c in held.columns])
     close = ((F.col("x_region") == F.col("y_region")) & (F.col("x_comp") != F.col("y_comp"))
              & (~F.col("y_out") | (F.col("x_id") < F.col("y_id")))
              & (F.abs(F.col("x_d") - F.col("y_d")) <= radius + SLACK) & (F.abs(F.col("x_at") - F.col("y_at")) <= width + SLACK))
@@ -162,13 +164,16 @@ def connect(spark: SparkSession, stars: DataFrame, items: DataFrame, distance: C
         close = close & may_link()
     rest = x.join(y, close).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
     found = measure(spark, rest, items, lambda x, y: (linked(x, y), 0.0)).where("link").select("a", "b")
-    wide = _in_blocks(held.where(F.col("size") > block), items, linked, radius, width, block)
-    return links.unionByName(found).unionByName(stored(spark, wide, "wide"))
+    links = links.unionByName(found)
+    if direct is None:
+        return links
+    wide = _in_blocks(held.where(F.col("outside") > direct), items, linked, radius, width, BLOCK)
+    return links.unionByName(stored(spark, wide, "wide"))
 
 
 def _in_blocks(held: DataFrame, items: DataFrame, linked: Callable, radius: float, width: float, block: int) -> DataFrame:
-    """Links in regions with more than ``block`` members: members are dealt into blocks,
-    and every two blocks meet in a task of their own, which returns links only."""
+    """Links in large regions: members are dealt into blocks, and every two blocks
+    meet in a group of their own, which returns links only."""
     blocks = F.ceil(F.col("size") / block)
     rows = held.select("region", "id", "d", "at", "comp", "out", blocks.alias("n"), F.pmod(F.xxhash64("id"), blocks).alias("own"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).join(items.select("id", "payload"), "id")
