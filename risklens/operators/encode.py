@@ -20,11 +20,14 @@ def fit_region_codes(df: DataFrame, column: str = "region") -> DataFrame:
 
 
 def apply_region_codes(df: DataFrame, codes: DataFrame, column: str = "region") -> DataFrame:
-    """Replace the region text with its code; unseen or null regions -> 0.
+    """Replace the region text with its code; a value that is a saved code already
+    (as a number or its text) stays; unseen or null regions -> 0.
     The code table has one row per distinct region; Spark broadcasts it
     when its measured size allows."""
-    c = codes.select(F.col("region").alias("_region"), F.col("code").alias("_code"))
-    joined = df.join(c, df[column] == c["_region"], "left")
+    text = codes.select(F.col("region").cast("string").alias("_region"), F.col("code").alias("_code"), F.lit(0).alias("_rank"))
+    coded = codes.select(F.col("code").cast("string").alias("_region"), F.col("code").alias("_code"), F.lit(1).alias("_rank"))
+    c = text.unionByName(coded).groupBy("_region").agg(F.min_by("_code", "_rank").alias("_code"))
+    joined = df.join(c, df[column].cast("string") == c["_region"], "left")
     return joined.withColumn(column, F.coalesce(F.col("_code"), F.lit(0)).cast("int")).drop(
         "_region", "_code")
 

@@ -12,8 +12,11 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 from pyspark.sql.window import Window
 
+from risklens.session import path_missing
+
 REGISTRY_SCHEMA = ("version int, event string, event_time timestamp, training_date timestamp, "
                    "accuracy double, f1_score double, num_samples bigint, num_features int, "
                    "feature_names array<string>, class_names array<string>, "
@@ -41,7 +44,9 @@ class Registry:
     def read(self) -> DataFrame:
         try:
             return self.spark.read.schema(REGISTRY_SCHEMA).parquet(self.path)
-        except Exception:  # no registry yet
+        except AnalysisException as e:
+            if not path_missing(e):  # unreadable isn't absent
+                raise
             return self.spark.createDataFrame([], REGISTRY_SCHEMA)
 
     def next_version(self) -> int:

@@ -42,9 +42,11 @@ def stratified_split(df: DataFrame, label: str, id_col: str,
         label, "_b",
         F.coalesce(F.sum("_cnt").over(cum), F.lit(0)).alias("_before"),
         F.round(F.sum("_cnt").over(by_class) * F.lit(float(fraction))).alias("_k"))
+    # a student may sit in several modules
+    ties = [c for c in ("code_module", "code_presentation") if c in df.columns and c != label]
     # classes x 65,536 rows at most: a proven bound for a broadcast
     ranked = rows.join(F.broadcast(offsets), [label, "_b"]).withColumn(
-        "_rn", F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", id_col)))
+        "_rn", F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", id_col, *ties)))
     return ranked.withColumn("is_test", (F.col("_before") + F.col("_rn")) <= F.col("_k")).drop(
         "_h", "_b", "_before", "_k", "_rn")
 

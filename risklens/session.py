@@ -46,6 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
+    if not current and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not current:
         current = tempfile.mkdtemp(prefix="risklens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
@@ -53,6 +55,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def path_missing(error: Exception) -> bool:
+    """Does the error say that a path isn't there? Any other read error must be raised."""
+    get = getattr(error, "getCondition", None) or getattr(error, "getErrorClass", lambda: "")
+    return (get() or "").startswith("PATH_NOT_FOUND")
+
+
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder (for written lineage cuts)."""
     return os.path.join(ensure_checkpoint_dir(spark), *parts)

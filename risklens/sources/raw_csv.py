@@ -13,6 +13,8 @@ from pyspark.sql.types import (DoubleType, IntegerType, LongType, StringType, St
                                StructType)
 from pyspark.sql.utils import AnalysisException
 
+from risklens.session import path_missing
+
 STUDENT_INFO = StructType([
     StructField("code_module", StringType()), StructField("code_presentation", StringType()),
     StructField("id_student", LongType()), StructField("gender", StringType()),
@@ -57,7 +59,9 @@ def read_table(spark: SparkSession, data_dir: str, name: str) -> DataFrame | Non
               .option("enforceSchema", False).csv(path))
         df.schema  # resolve now so a missing path fails here
         return df
-    except AnalysisException:
+    except AnalysisException as e:
+        if not path_missing(e):  # a broken source isn't an absent one
+            raise
         return None
 
 
