@@ -11,6 +11,7 @@ from risklens.functions.expr import sql_case_map, sql_code_lookup, sql_coerce_nu
 from risklens.operators import encode, features, scaling, split
 from risklens.plans.catalog import query
 from risklens.plans.oracle_tables import with_tables
+from risklens.session import stored
 from risklens.sources import testdata as T
 from risklens.sources.upload import normalize_upload
 
@@ -41,11 +42,19 @@ def encoded_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_demographics(master(spark, sf_dir), region_codes(spark, sf_dir))
 
 
+def split_students(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Students with a risk class and the split flag; class and split need the
+    demographics table alone."""
+    return split.stratified_split(encode.encode_target(T.student_info(spark, sf_dir)),
+                                  "final_result", "id_student")
+
+
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M6: encoded features, risk class, label index and the split flag."""
-    df = encode.label_index(encode.encode_target(encoded_master(spark, sf_dir)))
-    df = df.select(*C.STUDENT_KEYS, *C.FEATURES, "final_result", "label")
-    return split.stratified_split(df, "final_result", "id_student")
+    df = features.master_features(split_students(spark, sf_dir), T.student_assessment(spark, sf_dir),
+                                  T.assessments(spark, sf_dir), T.student_vle(spark, sf_dir))
+    df = encode.label_index(encode.encode_demographics(df, region_codes(spark, sf_dir)))
+    return df.select(*C.STUDENT_KEYS, *C.FEATURES, "final_result", "label", "is_test")
 
 
 # ───────────────────────────── SQL twins ─────────────────────────────
@@ -246,7 +255,8 @@ def q_encode_region(spark, sf_dir):
 SELECT {KEYS}, {', '.join(C.CATEGORICAL_FEATURES)} FROM encoded"""))
 def q_encode_demographics(spark, sf_dir):
     """Categorical codes with defaults."""
-    return encoded_master(spark, sf_dir).select(*C.STUDENT_KEYS, *C.CATEGORICAL_FEATURES)
+    info = encode.encode_demographics(T.student_info(spark, sf_dir), region_codes(spark, sf_dir))
+    return info.select(*C.STUDENT_KEYS, *C.CATEGORICAL_FEATURES)
 
 
 @query("encode_target", feature_sql("targeted", f"SELECT {KEYS}, final_result FROM targeted"))
@@ -294,7 +304,7 @@ def q_training_set(spark, sf_dir):
 SELECT final_result, is_test, count(*) AS rows FROM training GROUP BY final_result, is_test"""))
 def q_stratified_split(spark, sf_dir):
     """Exact per-class 80/20 split sizes."""
-    return (training_rows(spark, sf_dir).groupBy("final_result", "is_test")
+    return (split_students(spark, sf_dir).groupBy("final_result", "is_test")
             .agg(F.count(F.lit(1)).alias("rows")))
 
 
@@ -303,7 +313,7 @@ SELECT final_result, count, round(sum(count) OVER () / (count(*) OVER () * count
 FROM (SELECT final_result, count(*) AS count FROM training WHERE NOT is_test GROUP BY final_result)"""))
 def q_class_weights(spark, sf_dir):
     """Balanced class weights of the training rows."""
-    train = training_rows(spark, sf_dir).where(~F.col("is_test"))
+    train = split_students(spark, sf_dir).where(~F.col("is_test"))
     return split.class_weights(train, "final_result").withColumns(r6(["weight"]))
 
 
@@ -323,7 +333,7 @@ SELECT id_student, {', '.join(C.CATEGORICAL_FEATURES)}, {_SCALED_SQL}, label, is
 FROM training CROSS JOIN ({wide_stats_sql()}) s"""))
 def q_scale_features(spark, sf_dir):
     """M4: scale with statistics fitted on the train rows only."""
-    rows = training_rows(spark, sf_dir)
+    rows = stored(training_rows(spark, sf_dir), "training")
     model = scaling.ScalerModel.fit(rows.where(~F.col("is_test")))
     out = model.transform(rows)
     return out.select("id_student", *C.CATEGORICAL_FEATURES, *C.SCALED_FEATURES, "label",
@@ -338,7 +348,10 @@ _UPLOAD_DROP = ["last_active_day", "click_trend"]
 def upload_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An uploaded class file as read from CSV: every column text, two
     feature columns missing, categories as text."""
-    m = master(spark, sf_dir)
+    return as_upload(master(spark, sf_dir))
+
+
+def as_upload(m: DataFrame) -> DataFrame:
     cols = [F.col("id_student").cast("string").alias("student_id")]
     cols += [F.col(c).cast("string").alias(c) for c in C.FEATURES if c not in _UPLOAD_DROP]
     return m.select(*cols)
@@ -394,9 +407,10 @@ def q_batch_features(spark, sf_dir):
     """M5: upload -> encoded with the training region codes, coerced, and
     scaled with the training statistics."""
     from risklens.plans.batch import batch_features
-    rows = training_rows(spark, sf_dir)
-    scaler = scaling.ScalerModel.fit(rows.where(~F.col("is_test")))
+    flags = split_students(spark, sf_dir).select(*C.STUDENT_KEYS, "is_test")
+    m = stored(master(spark, sf_dir).join(flags, C.STUDENT_KEYS, "left"), "master")
+    scaler = scaling.ScalerModel.fit(m.where(~F.col("is_test")))  # null: no risk class
     codes = region_codes(spark, sf_dir)
-    up, _ = normalize_upload(upload_frame(spark, sf_dir), require=False)
+    up, _ = normalize_upload(as_upload(m), require=False)
     return batch_features(up, codes, scaler).select("student_id", *C.FEATURES).withColumns(
         r6(C.SCALED_FEATURES))

@@ -9,8 +9,6 @@ go under the shared ``spark.checkpoint.dir`` folder.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +20,7 @@ from risklens.plans import training
 from risklens.plans.catalog import query
 from risklens.plans.q_features import master
 from risklens.plans.scoring import ingest_scored, score_upload
-from risklens.session import shared_path
+from risklens.session import run_dir, shared_path
 from risklens.sources import testdata as T
 from risklens.sources.state_store import StateStore
 
@@ -56,10 +54,6 @@ def upload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.col(c).cast("string").alias(c) for c in C.FEATURES])
 
 
-def _run_dir(spark: SparkSession, kind: str) -> str:
-    return shared_path(spark, "risklens", "runs", f"{kind}-{uuid.uuid4().hex[:12]}")
-
-
 # ───────────────────────────── training ─────────────────────────────
 
 @query("train_ensemble")
@@ -97,7 +91,7 @@ def q_model_current(spark, sf_dir):
 def q_model_rollback(spark, sf_dir):
     """Retrain (scaler fitted on all rows, a second version), then roll
     back to the previous version; the registry keeps every event."""
-    root = _run_dir(spark, "rollback")
+    root = run_dir(spark, "rollback")
     base = artifacts(spark, sf_dir)
     reg = Registry(spark, root)
     meta = {k: v for k, v in base.metadata.items() if k not in ("version", "event", "event_time")}
@@ -143,7 +137,7 @@ def q_explain_fallback(spark, sf_dir):
     """Forest importances as the factor values when attribution fails."""
     art = artifacts(spark, sf_dir)
     s = score_upload(upload_rows(spark, sf_dir), art, explain=False)
-    vals = attribution.importance_fallback(s, "row_id", art.model.forest)
+    vals = attribution.importance_fallback(s.select("row_id").distinct(), "row_id", art.model.forest)
     top = attribution.top_factors(vals, "row_id")
     return s.select("row_id", "student_id").join(attribution.factor_texts(top, "row_id"), "row_id")
 
@@ -152,9 +146,11 @@ def q_explain_fallback(spark, sf_dir):
 
 @query("state_init")
 def q_state_init(spark, sf_dir):
-    """Create the four tables (twice: idempotent), row counts."""
-    store = StateStore(spark, _run_dir(spark, "state"))
+    """Create the tables, fill and clear one, create again (idempotent), row counts."""
+    store = StateStore(spark, run_dir(spark, "state"))
     store.init()
+    store.append("drift_log", drift.drift_log_rows(drift.drift_all(T.engagement_daily(spark, sf_dir))))
+    store.clear()
     store.init()
     store.upsert_students(T.students(spark, sf_dir).withColumn("o", F.lit(0)), ["o"])
     parts = [store.table(t).agg(F.lit(t).alias("table"), F.count(F.lit(1)).alias("rows"))
@@ -168,7 +164,7 @@ def q_state_init(spark, sf_dir):
 @query("engagement_append")
 def q_engagement_append(spark, sf_dir):
     """K1: append the daily engagement rows, read the table back."""
-    store = StateStore(spark, _run_dir(spark, "eng"))
+    store = StateStore(spark, run_dir(spark, "eng"))
     store.init()
     store.append("engagement_log", T.engagement_daily(spark, sf_dir).drop("seq"))
     return store.table("engagement_log")
@@ -177,7 +173,7 @@ def q_engagement_append(spark, sf_dir):
 @query("predictions_append")
 def q_predictions_append(spark, sf_dir):
     """K2: append logged predictions (factors default to '')."""
-    store = StateStore(spark, _run_dir(spark, "pred"))
+    store = StateStore(spark, run_dir(spark, "pred"))
     store.init()
     store.append("predictions", T.predictions(spark, sf_dir).drop("id"))
     return store.table("predictions")
@@ -186,7 +182,7 @@ def q_predictions_append(spark, sf_dir):
 @query("drift_log_append")
 def q_drift_log_append(spark, sf_dir):
     """K3: every check is logged, also the non-drift ones (flag 0/1)."""
-    store = StateStore(spark, _run_dir(spark, "drift"))
+    store = StateStore(spark, run_dir(spark, "drift"))
     store.init()
     checks = drift.drift_all(T.engagement_daily(spark, sf_dir))
     store.append("drift_log", drift.drift_log_rows(checks))
@@ -196,7 +192,7 @@ def q_drift_log_append(spark, sf_dir):
 @query("export_class_report")
 def q_export_class_report(spark, sf_dir):
     """K6: the class table written as CSV with a header, read back."""
-    path = _run_dir(spark, "export")
+    path = run_dir(spark, "export")
     StateStore.export_csv(T.students(spark, sf_dir), path)
     return spark.read.option("header", True).csv(path)
 
@@ -206,20 +202,10 @@ def q_batch_results(spark, sf_dir):
     """Score an upload, then upsert, log engagement and predictions,
     check drift of the touched students and override drops."""
     art = artifacts(spark, sf_dir)
-    store = StateStore(spark, _run_dir(spark, "batch"))
+    store = StateStore(spark, run_dir(spark, "batch"))
     store.init()
     store.append("engagement_log", T.engagement_daily(spark, sf_dir).drop("seq"))
-    scored = score_upload(upload_rows(spark, sf_dir), art, explain=False)
-    res = ingest_scored(store, scored)
-    return _materialize(spark, res)
-
-
-def _materialize(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Write a result to the shared folder and read it back (lineage cut
-    that survives executor loss)."""
-    path = _run_dir(spark, "result")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return ingest_scored(store, score_upload(upload_rows(spark, sf_dir), art))
 
 
 @query("ingest_batch")
@@ -228,11 +214,11 @@ def q_ingest_batch(spark, sf_dir):
     ingested by foreachBatch (availableNow); returns the students table."""
     from risklens.streaming.ingest import start_ingest
     art = artifacts(spark, sf_dir)
-    run = _run_dir(spark, "stream")
+    run = run_dir(spark, "stream")
     inbox = f"{run}/inbox"
     upload_rows(spark, sf_dir).repartition(4).write.option("header", True).csv(inbox)
     store = StateStore(spark, f"{run}/state")
     store.init()
-    q = start_ingest(spark, inbox, store, art, f"{run}/_checkpoint", explain=False)
+    q = start_ingest(spark, inbox, store, art, f"{run}/_checkpoint")
     q.awaitTermination()
     return store.table("students")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from risklens import constants as C
-from risklens.operators import encode, metrics, split
+from risklens.operators import attribution, encode, metrics, split
 from risklens.operators.ensemble import (N_CLASSES, EnsembleModel, EnsembleParams, soft_vote,
                                          train_ensemble)
 from risklens.operators.registry import Registry
@@ -31,6 +31,7 @@ class TrainResult:
     path: str
     metadata: dict
     test_scored: DataFrame
+    background: DataFrame
 
 
 def prepare(master: DataFrame, fit_on: str = "train", codes: DataFrame | None = None,
@@ -50,7 +51,7 @@ def evaluate(test_scored: DataFrame) -> dict:
     """Accuracy, macro F1, report and matrix of the scored test rows (the
     collected results are bounded: 16 matrix cells, 7 report rows)."""
     df = test_scored.select(F.col("final_result").alias("actual"),
-                            F.col("risk_level").alias("predicted"))
+                            F.col("risk_level").alias("predicted")).persist()  # scored once for all four
     acc = metrics.accuracy(df).first()
     f1 = metrics.macro_f1(df).first()
     cm = metrics.confusion_matrix(df).orderBy("row_idx", "col_idx").collect()
@@ -58,6 +59,7 @@ def evaluate(test_scored: DataFrame) -> dict:
     for r in cm:
         matrix[r.row_idx][r.col_idx] = int(r["count"])
     report = metrics.classification_report(df).collect()
+    df.unpersist()
     lines = [f"{r.row_label:>14} {r.precision if r.precision is not None else float('nan'):9.2f} "
              f"{r.recall if r.recall is not None else float('nan'):9.2f} {r.f1_score:9.2f} {r.support:9d}"
              for r in report]
@@ -82,6 +84,19 @@ def member_predictions(test_scored: DataFrame) -> DataFrame:
 
 _CACHE: dict = {}
 
+#: Training rows kept with a version as the background of its attributions.
+BACKGROUND_ROWS = 10
+
+
+def source_state(df: DataFrame) -> str:
+    """A digest of the files behind ``df`` (paths, sizes, times); no content is read."""
+    files = df.inputFiles()
+    if not files:
+        return ""
+    listing = df.sparkSession.read.format("binaryFile").load(files)
+    h = listing.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()[0]
+    return f"{len(files)}:{h}"
+
 
 def train(spark: SparkSession, master: DataFrame, model_root: str,
           params: EnsembleParams | None = None, fit_on: str = "train",
@@ -89,7 +104,10 @@ def train(spark: SparkSession, master: DataFrame, model_root: str,
     """Fit (or, with ``reuse``, load the registered version fitted on the
     same data with the same parameters), evaluate, save and register."""
     p = params or EnsembleParams()
-    key = (cache_key, astuple(p), fit_on, model_root) if cache_key is not None else None
+    if cache_key is not None or reuse:
+        data_source = f"{data_source}|{source_state(master)}"
+    key = ((spark.sparkContext.applicationId, cache_key, data_source, astuple(p), fit_on, model_root)
+           if cache_key is not None else None)
     if key is not None and key in _CACHE:
         return _CACHE[key]
     signature = f"{data_source}|{astuple(p)}|{fit_on}|{ARTIFACT_FORMAT}"
@@ -120,17 +138,20 @@ def train(spark: SparkSession, master: DataFrame, model_root: str,
     model.save(path)
     scaler.to_df(spark).write.mode("overwrite").parquet(f"{path}/scaler")
     codes.write.mode("overwrite").parquet(f"{path}/region_codes")
+    attribution.background_sample(train_rows, BACKGROUND_ROWS).write.mode("overwrite").parquet(
+        f"{path}/background")
     reg.append(version, "trained", meta)
     reg.append(version, "activated", meta)
     rows.unpersist()
     codes_saved = spark.read.parquet(f"{path}/region_codes")
-    result = TrainResult(model, scaler, codes_saved, version, path, meta, test_scored)
+    result = TrainResult(model, scaler, codes_saved, version, path, meta, test_scored,
+                         spark.read.parquet(f"{path}/background"))
     if key is not None:
         _CACHE[key] = result
     return result
 
 
-ARTIFACT_FORMAT = "a1"
+ARTIFACT_FORMAT = "a2"
 
 
 def load_version(spark: SparkSession, model_root: str, version: int,
@@ -149,7 +170,7 @@ def load_version(spark: SparkSession, model_root: str, version: int,
         test_scored = soft_vote(model.member_probabilities(rows.where(F.col("is_test"))),
                                 ["p_rf", "p_gbt"])
     return TrainResult(model, scaler, codes, version, path, meta.asDict() if meta else {},
-                       test_scored)
+                       test_scored, spark.read.parquet(f"{path}/background"))
 
 
 def load_active(spark: SparkSession, model_root: str) -> TrainResult | None:
@@ -161,4 +182,5 @@ def load_active(spark: SparkSession, model_root: str) -> TrainResult | None:
     path = reg.model_path(v)
     return TrainResult(EnsembleModel.load(path),
                        ScalerModel.from_df(spark.read.parquet(f"{path}/scaler")),
-                       spark.read.parquet(f"{path}/region_codes"), v, path, {}, None)
+                       spark.read.parquet(f"{path}/region_codes"), v, path, {}, None,
+                       spark.read.parquet(f"{path}/background"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import SparkConf
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC timestamps (state tables hold ISO times),
 # AQE so joins re-plan on runtime sizes and skewed partitions are split,
@@ -23,11 +25,16 @@ DEFAULT_CONF = {
 }
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "risklens", extra: dict | None = None) -> SparkSession:
+    """A session with the defaults above. The master comes from spark-submit
+    unless given (local[*] when neither says); the partition count stays with
+    the cluster's own setting unless given."""
+    master = master or SparkConf().get("spark.master", "local[*]")
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -64,3 +71,16 @@ def path_missing(error: Exception) -> bool:
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder (for written lineage cuts)."""
     return os.path.join(ensure_checkpoint_dir(spark), *parts)
+
+
+def run_dir(spark: SparkSession, kind: str) -> str:
+    """A new folder under the shared one, for one run."""
+    return shared_path(spark, "risklens", "runs", f"{kind}-{uuid.uuid4().hex[:12]}")
+
+
+def stored(df: DataFrame, kind: str = "stored") -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, and a
+    lineage cut that survives lost executors."""
+    path = run_dir(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

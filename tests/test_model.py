@@ -103,7 +103,87 @@ def test_ingest_overrides_drops(spark, art, upload):
     ingest_scored(store, score_upload(upload, a, explain=False))
     weeks = store.table("engagement_log").groupBy("student_id").agg(F.max("week_number").alias("w"))
     assert {r.w for r in weeks.collect()} == {2}
-    assert store.current_version() == 5  # init + 2 x (upsert + override)
+    assert store.current_version() == 3  # init + one version per batch
+
+
+def factors(spark, art, upload, student):
+    s = score_upload(upload, art).where(F.col("student_id") == student)
+    return [tuple(r) for r in s.select("top_factor_1", "top_factor_2", "top_factor_3").collect()]
+
+
+def test_factors_depend_on_the_row_alone(spark, art, upload):
+    a, _ = art
+    student = upload.agg(F.min("student_id")).first()[0]
+    one = upload.where(F.col("student_id") == student)
+    alone = factors(spark, a, one, student)
+    assert len(alone) == 1 and all(alone[0])
+    assert factors(spark, a, upload.limit(30).unionByName(one).distinct(), student) == alone
+    assert factors(spark, a, one.unionByName(one), student) == alone * 2
+
+
+def test_a_batch_run_again_logs_nothing_twice(spark, art, upload, monkeypatch):
+    a, _ = art
+    few = upload.where(F.col("student_id").cast("long") < 40)
+    stores = [StateStore(spark, tempfile.mkdtemp(prefix="rl-again-")) for _ in range(2)]
+    for s in stores:
+        s.init()
+        ingest_scored(s, score_upload(few, a), "b0")
+    clean, broken = stores
+    ingest_scored(clean, score_upload(few, a), "b1")
+    with monkeypatch.context() as m:  # fails after the engagement rows are written
+        m.setattr("risklens.operators.drift.drift_log_rows", lambda *x: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            ingest_scored(broken, score_upload(few, a), "b1")
+    ingest_scored(broken, score_upload(few, a), "b1")
+    times = ("logged_at", "prediction_date", "checked_at", "last_updated", "id")
+    for t in ("students", "predictions", "engagement_log", "drift_log"):
+        rows = [s.table(t) for s in stores]
+        got = [sorted(map(str, r.drop(*times).collect())) for r in rows]
+        assert got[0] == got[1] and got[0]
+        if t != "students":
+            assert rows[1].select("id").distinct().count() == rows[1].count()
+    assert broken.table("predictions").where("top_factor_1 = ''").count() == 0
+
+
+def test_last_row_of_a_file_wins_and_week_is_taken(spark, art, upload):
+    a, _ = art
+    one = upload.orderBy("student_id").limit(1).drop("name")
+    rows = [r.asDict() | {"name": n, "week_number": w} for r in one.collect()
+            for n, w in (("first", "3"), ("second", "4"), ("third", "7"))]
+    folder = tempfile.mkdtemp(prefix="rl-last-")
+    spark.createDataFrame(rows).coalesce(1).write.option("header", True).csv(f"{folder}/in")
+    from risklens.sources.upload import read_upload
+    store = StateStore(spark, f"{folder}/state")
+    store.init()
+    ingest_scored(store, score_upload(read_upload(spark, f"{folder}/in"), a, explain=False))
+    assert [r.name for r in store.table("students").collect()] == ["third"]
+    assert sorted(r.week_number for r in store.table("engagement_log").collect()) == [3, 4, 7]
+
+
+def test_stream_reads_by_header_and_keeps_rejects(spark, art, upload):
+    from risklens.streaming.ingest import start_ingest
+    a, _ = art
+    run = tempfile.mkdtemp(prefix="rl-header-")
+    good = upload.drop("name", "email").select(*sorted(set(upload.columns) - {"name", "email"}, reverse=True))
+    good.coalesce(1).write.option("header", True).csv(f"{run}/inbox")
+    upload.drop("gender").limit(3).coalesce(1).write.mode("append").option("header", True).csv(f"{run}/inbox")
+    store = StateStore(spark, f"{run}/state")
+    store.init()
+    start_ingest(spark, f"{run}/inbox", store, a, f"{run}/ckpt", explain=False).awaitTermination()
+    want = {r.student_id: r.risk_level for r in score_upload(upload, a, explain=False).collect()}
+    got = store.table("predictions").collect()
+    assert {r.student_id: r.risk_level for r in got} == want and len(got) == upload.count()
+    assert all(r.name == r.student_id for r in store.table("students").collect())
+    assert [r.missing for r in store.table("rejected_uploads").collect()] == ["gender"]
+
+
+def test_changed_files_train_anew(spark):
+    path = tempfile.mkdtemp(prefix="rl-src-") + "/t"
+    spark.range(5).write.parquet(path)
+    before = training.source_state(spark.read.parquet(path))
+    assert before == training.source_state(spark.read.parquet(path))
+    spark.range(6).write.mode("overwrite").parquet(path)
+    assert before != training.source_state(spark.read.parquet(path))
 
 
 def test_streaming_ingest(spark, art, upload):
