@@ -113,14 +113,17 @@ def master_features(student_info: DataFrame, student_assessment: DataFrame | Non
     return master.na.fill(0, subset=C.ENGAGEMENT_FILL)
 
 
-def source_profile(sources: dict[str, DataFrame], key: str = "id_student") -> DataFrame:
-    """Rows, rows with a null student key and distinct students per source."""
+def source_profile(sources: dict[str, DataFrame], key: str = "id_student",
+                   other_key: str = "id_assessment") -> DataFrame:
+    """Rows, rows with a null key and distinct students per source. A source
+    without students (assessments) is held against its own key and has 0 of them."""
     parts = []
     for name, df in sources.items():
+        has = key in df.columns
         parts.append(df.agg(F.lit(name).alias("source"),
                             F.count(F.lit(1)).alias("rows"),
-                            F.count_if(F.col(key).isNull()).alias("null_keys"),
-                            F.countDistinct(key).alias("students")))
+                            F.count_if(F.col(key if has else other_key).isNull()).alias("null_keys"),
+                            (F.countDistinct(key) if has else F.lit(0).cast("bigint")).alias("students")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

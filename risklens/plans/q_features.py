@@ -11,9 +11,10 @@ from risklens.functions.expr import sql_case_map, sql_code_lookup, sql_coerce_nu
 from risklens.operators import encode, features, scaling, split
 from risklens.plans.catalog import query
 from risklens.plans.oracle_tables import with_tables
-from risklens.session import stored
+from risklens.session import run_dir, stored
+from risklens.sources import raw_csv
 from risklens.sources import testdata as T
-from risklens.sources.upload import normalize_upload
+from risklens.sources.upload import normalize_upload, read_upload
 
 KEYS = ", ".join(C.STUDENT_KEYS)
 R6 = 6
@@ -115,7 +116,8 @@ SELECT {KEYS}, {', '.join(C.FEATURES)}, final_result,
        {sql_case_map('final_result', {c: float(i) for i, c in enumerate(C.LABEL_ORDER)})}
          AS label,
        row_number() OVER (PARTITION BY final_result
-                          ORDER BY md5(CAST(id_student AS VARCHAR) || '-{C.SEED}'), id_student)
+                          ORDER BY md5(CAST(id_student AS VARCHAR) || '-{C.SEED}'), id_student,
+                                   code_module, code_presentation)
          <= round(count(*) OVER (PARTITION BY final_result) * CAST({C.TEST_FRACTION!r} AS DOUBLE))
          AS is_test
 FROM targeted"""),
@@ -177,13 +179,54 @@ def q_src_student_vle(spark, sf_dir):
 @query("source_profile", with_tables(*BASE) + " UNION ALL ".join(
     f"SELECT '{n}' AS source, count(*) AS rows, count(*) FILTER (WHERE id_student IS NULL) AS null_keys, "
     f"count(DISTINCT id_student) AS students FROM {n}"
-    for n in ("student_info", "student_assessment", "student_vle")))
+    for n in ("student_info", "student_assessment", "student_vle"))
+    + " UNION ALL SELECT 'assessments', count(*), count(*) FILTER (WHERE id_assessment IS NULL), "
+      "CAST(0 AS BIGINT) FROM assessments")
 def q_source_profile(spark, sf_dir):
     """Rows, null keys and distinct students per source."""
     return features.source_profile({
         "student_info": T.student_info(spark, sf_dir),
         "student_assessment": T.student_assessment(spark, sf_dir),
-        "student_vle": T.student_vle(spark, sf_dir)})
+        "student_vle": T.student_vle(spark, sf_dir),
+        "assessments": T.assessments(spark, sf_dir)})
+
+
+def _csv_source(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
+    """A mapped table written as CSV and read by the engine's own reader; file
+    columns that the mapping lacks are written empty."""
+    folder = run_dir(spark, "csv")
+    fname, schema = raw_csv.FILES[name]
+    df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c)
+                for c in schema.names]).write.option("header", True).csv(f"{folder}/{fname}")
+    return raw_csv.read_table(spark, folder, name).select(*[c for c in schema.names if c in df.columns])
+
+
+@query("csv_student_info", with_tables("student_info") + "SELECT " + ", ".join(
+    raw_csv.STUDENT_INFO.names) + " FROM student_info")
+def q_csv_student_info(spark, sf_dir):
+    """S1 through CSV."""
+    return _csv_source(spark, "studentInfo", T.student_info(spark, sf_dir))
+
+
+@query("csv_assessments", with_tables("assessments") + """
+SELECT code_module, code_presentation, id_assessment, CAST(weight AS DOUBLE) AS weight FROM assessments""")
+def q_csv_assessments(spark, sf_dir):
+    """S2 through CSV."""
+    return _csv_source(spark, "assessments", T.assessments(spark, sf_dir))
+
+
+@query("csv_student_assessment", with_tables("student_assessment") + """
+SELECT id_assessment, id_student, nullif(score, '') AS score FROM student_assessment""")
+def q_csv_student_assessment(spark, sf_dir):
+    """S3 through CSV: score stays text, an empty one is null."""
+    return _csv_source(spark, "studentAssessment", T.student_assessment(spark, sf_dir))
+
+
+@query("csv_student_vle", with_tables("student_vle") + """
+SELECT code_module, code_presentation, id_student, date, sum_click FROM student_vle""")
+def q_csv_student_vle(spark, sf_dir):
+    """S4 through CSV."""
+    return _csv_source(spark, "studentVle", T.student_vle(spark, sf_dir))
 
 
 # ───────────────────────────── features ─────────────────────────────
@@ -383,6 +426,17 @@ def q_batch_normalize(spark, sf_dir):
         r6([c for c in C.FEATURES if c not in C.CATEGORICAL_FEATURES]))
 
 
+@query("csv_upload", with_tables(*BASE, extra=SQL_CTES[:6] + [("upload", _UPLOAD_SQL)])
+       + _normalized_sql())
+def q_csv_upload(spark, sf_dir):
+    """The same upload through a CSV file with a header."""
+    folder = run_dir(spark, "upload")
+    upload_frame(spark, sf_dir).write.option("header", True).csv(folder)
+    up, _ = normalize_upload(read_upload(spark, folder), require=False)
+    return up.select("student_id", *C.FEATURES).withColumns(
+        r6([c for c in C.FEATURES if c not in C.CATEGORICAL_FEATURES]))
+
+
 def _batch_features_sql() -> str:
     enc = {
         "gender": sql_code_lookup("u.gender", C.GENDER_CODES),
