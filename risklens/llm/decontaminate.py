@@ -79,7 +79,7 @@ class TestItems:
         self.words = [words_of(t) for _, t in rows]
         grams = [shingle_hashes(w, size) for w in self.words]
         self.table = np.unique(np.concatenate([*grams, np.empty(0, np.uint64)]))
-        at = [np.searchsorted(self.table, g) for g in grams]
+        at = self.own = [np.searchsorted(self.table, g) for g in grams]
         # places of every n-gram: (n-gram, item, offset), sorted by n-gram
         place = np.concatenate([np.empty((0, 3), np.int64)] + [np.stack([g, np.full(len(g), k), np.arange(len(g))], axis=1) for k, g in enumerate(at)])
         self.places = place[np.argsort(place[:, 0], kind="stable")]
@@ -88,8 +88,7 @@ class TestItems:
     def choose_seeds(self, held: np.ndarray) -> None:
         """``held``: documents that hold each n-gram."""
         self.seed[:] = False
-        for k in range(len(self.ids)):
-            own = self.places[self.places[:, 1] == k, 0]
+        for own in self.own:
             if len(own):
                 self.seed[own[held[own] <= RARE * np.quantile(held[own], 0.25) + RARE]] = True
         self.places = self.places[self.seed[self.places[:, 0]]]
