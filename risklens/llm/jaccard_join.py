@@ -18,9 +18,10 @@ Details of the classes: sizes lie in shells, each ``100 / percent`` wider than
 the last; ends of a link are in the same or in adjacent shells, so a set writes
 the classes of its own shell and of the one below. Linked sets of a shell differ
 in at most k shingles; with k + 1 + e classes they agree in e + 1 or more, and
-a set with at most e thin classes (under 2 shingles, in small sets 1) has a full one among
-them. Only full classes are written: a thin one may hold nothing but a piece of
-a passage that many texts quote. A set with more thin classes also writes the
+a set with at most e thin classes has a full one among them (full: 2 shingles; 1 in
+small sets, and where the threshold leaves classes under 3 shingles on average). Only
+full classes are written: a thin one may hold nothing but a piece of a passage that
+many texts quote. A set with more thin classes also writes the
 classes of a further hash, until it has no more than e. (Of two linked sets,
 the one that needs fewer hashes proves it.)
 
@@ -45,9 +46,16 @@ from risklens.llm.components import components
 from risklens.llm.metric_join import SMALL, connect
 from risklens.llm.shingles import mix, overlap, set_id, shingle_set
 
-#: (least size of a shell, shingles that a class needs to be written, thin classes
-#: allowed for each possible difference): large sets can ask for more.
-FULL = ((12, 2, 0.16), (1, 1, 0.05))
+#: What near-duplicate stages take: words of a shingle, least similarity in percent.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: What the registered query takes.
+QUERY_WORDS, QUERY_PERCENT = 4, 85
+#: Below, sets can differ in so many shingles that too many of their classes stay empty.
+LEAST_PERCENT = 80
+#: (least size of a shell, least mean size of its classes, shingles that a class needs
+#: to be written, thin classes allowed for each possible difference): where classes
+#: are large they can be asked for more.
+FULL = ((12, 3.0, 2, 0.16), (12, 0.0, 1, 0.16), (1, 0.0, 1, 0.05))
 #: Bytes of signatures for a byte of stored input, seen on prose; sizes partitions only.
 SIGNATURE_RATIO = 2.0
 
@@ -66,6 +74,8 @@ class Signer:
     """Class signatures of sets for one threshold."""
 
     def __init__(self, percent: int):
+        if not LEAST_PERCENT <= percent <= 100:
+            raise ValueError(f"the classes serve similarities from {LEAST_PERCENT} to 100 percent, not {percent}")
         self.percent, self.bounds = percent, shells(percent, 1 << 12)
         self.edges = np.array(self.bounds)
 
@@ -73,8 +83,10 @@ class Signer:
         """Classes of a shell, how many of them may be thin, and what isn't thin."""
         total = self.bounds[shell + 1] + self.bounds[shell + 2] - 2
         k = (100 - self.percent) * total // (100 + self.percent)
-        need, rate = next((need, rate) for least, need, rate in FULL if self.bounds[shell] >= least)
-        spare = 0 if k == 0 else 1 + int(k * rate)
+        for least, mean, need, rate in FULL:
+            spare = 0 if k == 0 else 1 + int(k * rate)
+            if self.bounds[shell] >= max(least, mean * (k + 1 + spare)):
+                break
         return k + 1 + spare, spare, need if k else 1
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
@@ -172,7 +184,7 @@ def jaccard_distance(percent: int):
     return distance
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 4, percent: int = 85, small: int = SMALL) -> DataFrame:
+def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = NEAR_WORDS, percent: int = NEAR_PERCENT, small: int = SMALL) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -213,12 +225,12 @@ def set_items(spark: SparkSession, docs: DataFrame, wanted: DataFrame, size: int
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_components(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), QUERY_WORDS, QUERY_PERCENT)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of linked documents the one of least id stays
-    (of rows that share that id, those that have the group's name)."""
+    """Pipeline stage: of each group of linked documents (NEAR_WORDS, NEAR_PERCENT) the
+    one of least id stays (of rows that share that id, those that have the group's name)."""
     groups = jaccard_components(spark, docs)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")

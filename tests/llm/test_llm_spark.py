@@ -2,12 +2,13 @@
 
 import base64
 import hashlib
+import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from risklens.llm import chat_tree, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, pieces, token_counts, url_filters, zip_warc
-from risklens.llm.shingles import overlap, shingle_set
 from risklens.plans.verify import compare
 
 SF = "/root/testdata/sf0.001"
@@ -46,9 +47,8 @@ def test_jaccard_components(spark, docs, empty):
     assert jaccard_join.keep_one(spark, docs, SF).columns == docs.columns
 
 
-def test_jaccard_against_all_pairs(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    sets = {r.doc_id: shingle_set(r.text, 4) for r in docs.select("doc_id", "text").collect()}
+def all_pairs(sets, percent):
+    """doc_id -> least doc_id that links reach, from all pairs of the sets."""
     parent = {d: d for d in sets}
 
     def find(d):
@@ -59,12 +59,29 @@ def test_jaccard_against_all_pairs(spark):
     for d in sorted(sets):
         for e in sorted(sets):
             if d < e and len(sets[d]) and len(sets[e]):
-                c = overlap(sets[d], sets[e])
-                if 100 * c >= 85 * (len(sets[d]) + len(sets[e]) - c) and find(d) != find(e):
+                c = len(sets[d] & sets[e])
+                if 100 * c >= percent * (len(sets[d]) + len(sets[e]) - c) and find(d) != find(e):
                     lo, hi = sorted((find(d), find(e)))
                     parent[hi] = lo
-    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark, docs).collect()}
-    assert got == {d: find(d) for d in sets}
+    return {d: find(d) for d in sets}
+
+
+def word_sets(texts, size):
+    """Sets of word tuples, by the definition."""
+    out = {}
+    for d, t in texts.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        out[d] = {tuple(words[k:k + size]) for k in range(max(len(words) - size + 1, 1))} if words else set()
+    return out
+
+
+@pytest.mark.parametrize("size, percent", [(4, 85), (5, 80)])
+def test_jaccard_against_all_pairs(spark, size, percent):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sets = word_sets({r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}, size)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark, docs, size, percent).collect()}
+    want = all_pairs(sets, percent)
+    assert got == {d: (len(sets[d]), want[d]) for d in sets}
 
 
 def test_line_dedup_against_all_pairs(spark):
@@ -187,3 +204,29 @@ def test_pipeline_stages(spark):
         sizes.append(out.count())
         docs = out
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.7 * sizes[0]
+
+
+def test_pipeline_against_brute_force(spark):
+    import corpus_pipeline
+    import sentencepiece
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    net = language_id.train(language_id.training_sample(table))
+    texts = {r.doc_id: r.text for r in table.collect()}
+    for d, t in list(texts.items()):
+        (lang,), (score,) = language_id.label(net, [t])
+        if lang == language_id.UNKNOWN or score < language_id.MIN_SCORE:
+            del texts[d]
+    last = {t: max(d for d in texts if texts[d] == t) for t in set(texts.values())}
+    texts = {d: t for d, t in texts.items() if last[t] == d}
+    comp = all_pairs(word_sets(texts, 5), 80)
+    texts = {d: t for d, t in texts.items() if comp[d] == d}
+    number = {}
+    words = lambda t: np.array([number.setdefault(w, len(number)) for w in re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", t.lower())], np.uint64)
+    items = [words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    for d, t in list(texts.items()):
+        own = words(t)
+        if any(decontaminate.align(x, own[None], np.array([len(own)]))[0][0] >= decontaminate.THRESHOLD * decontaminate.MATCH * len(x) for x in items if len(x) and len(own)):
+            del texts[d]
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, SF).collect()}
+    assert got == {d: library.encode(t, add_bos=True, add_eos=True) for d, t in texts.items()}

@@ -93,9 +93,10 @@ def test_edit_automaton_and_keys():
                 assert set(line_dedup.line_keys(a, e).tolist()) & set(line_dedup.line_keys(b, e).tolist())
 
 
-def test_linked_sets_share_a_class():
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_linked_sets_share_a_class(percent):
     rng = np.random.default_rng(3)
-    signer = jaccard_join.Signer(85)
+    signer = jaccard_join.Signer(percent)
     for n in [1, 2, 5, 6, 7, 9, 12, 15, 20, 27, 33, 50, 120, 700, 5000]:
         for _ in range(12):
             x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
@@ -103,12 +104,18 @@ def test_linked_sets_share_a_class():
             while True:  # as many changes as a link allows
                 z = y[1:] if rng.random() < 0.5 and len(y) > 1 else np.unique(np.append(y, rng.integers(0, 2**63, 1).astype(np.uint64)))
                 c = overlap(x, z)
-                if 100 * c < 85 * (len(x) + len(z) - c):
+                if 100 * c < percent * (len(x) + len(z) - c):
                     break
                 y = z
             assert set(signer.signatures(x).tolist()) & set(signer.signatures(y).tolist())
 
 
+def test_thresholds_that_classes_cannot_serve():
+    for percent in (0, 79, 101):
+        with pytest.raises(ValueError):
+            jaccard_join.Signer(percent)
+
+
 def test_shingle_sets():
     assert len(shingle_set(None, 4)) == len(shingle_set(" \n", 4)) == 0
     assert len(shingle_set("a b", 4)) == 1 and len(shingle_set("a b c d e", 4)) == 2
