@@ -21,7 +21,10 @@ in at most k shingles; with k + 1 + e classes they agree in e + 1 or more, and
 a set with at most e thin classes has a full one among them (full: 2 shingles; 1 in
 small sets, and where the threshold leaves classes under 3 shingles on average). Only
 full classes are written: a thin one may hold nothing but a piece of a passage that
-many texts quote. A set with more thin classes also writes the
+many texts quote. Where classes are small, those of common shingles alone are thin
+too; shingles are counted over all documents in a table of fixed size first. (What
+is thin follows from a class's content and hash only, so both ends agree on it; sets
+of little but common shingles fall back on sizes.) A set with more thin classes also writes the
 classes of a further hash, until it has no more than e. (Of two linked sets,
 the one that needs fewer hashes proves it.)
 
@@ -55,7 +58,13 @@ LEAST_PERCENT = 80
 #: (least size of a shell, least mean size of its classes, shingles that a class needs
 #: to be written, thin classes allowed for each possible difference): where classes
 #: are large they can be asked for more.
-FULL = ((12, 3.0, 2, 0.16), (12, 0.0, 1, 0.16), (1, 0.0, 1, 0.05))
+FULL = ((12, 3.0, 2, 0.16), (12, 0.0, 1, 0.5), (1, 0.0, 1, 0.05))
+#: Cells of the table of shingle counts, and how many times the mean cell a common
+#: shingle's cell holds. Classes of common shingles alone are thin in the first
+#: PATIENCE hashes of a set.
+CELLS = 1 << 16
+COMMON = 16
+PATIENCE = 2
 #: Bytes of signatures for a byte of stored input, seen on prose; sizes partitions only.
 SIGNATURE_RATIO = 2.0
 
@@ -71,12 +80,13 @@ def shells(percent: int, upto: int) -> list[int]:
 
 
 class Signer:
-    """Class signatures of sets for one threshold."""
+    """Class signatures of sets for one threshold. ``common``: for each cell of the
+    table of shingle counts, whether it is a common shingle's."""
 
-    def __init__(self, percent: int):
+    def __init__(self, percent: int, common: np.ndarray | None = None):
         if not LEAST_PERCENT <= percent <= 100:
             raise ValueError(f"the classes serve similarities from {LEAST_PERCENT} to 100 percent, not {percent}")
-        self.percent, self.bounds = percent, shells(percent, 1 << 12)
+        self.percent, self.bounds, self.common = percent, shells(percent, 1 << 12), common
         self.edges = np.array(self.bounds)
 
     def plan(self, shell: int) -> tuple[int, int, int]:
@@ -96,6 +106,7 @@ class Signer:
             self.edges = np.array(self.bounds)
         own = int(np.searchsorted(self.edges, n, "right")) - 1
         mixed, out = mix(s), []
+        own_words = None if self.common is None else ~self.common[cells(s)]
         for shell in {max(own - 1, 0), own}:
             classes, spare, need = self.plan(shell)
             seed = 0
@@ -105,7 +116,10 @@ class Signer:
                 at = at.astype(np.int64)
                 sums = np.zeros(classes, np.uint64)
                 np.add.at(sums, at, mixed)
-                full = np.flatnonzero(np.bincount(at, minlength=classes) >= need)
+                held = np.bincount(at, minlength=classes) >= need
+                if own_words is not None and seed < PATIENCE:
+                    held &= np.bincount(at[own_words], minlength=classes) > 0
+                full = np.flatnonzero(held)
                 salt = np.uint64(((shell << 40) ^ (seed << 32)) & 0xFFFFFFFFFFFFFFFF)
                 out.append(mix(mix(sums[full]) + full.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt))
                 if classes - len(full) <= spare:
@@ -126,10 +140,38 @@ def document_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(batch_rows(run, schema), "doc_id long, id long, n_shingles long")
 
 
+def cells(shingles: np.ndarray) -> np.ndarray:
+    return ((shingles * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(CELLS)
+
+
+def common_cells(docs: DataFrame, size: int) -> np.ndarray:
+    """For each cell, whether it holds a common shingle. Every task sums its documents'
+    shingles first, so a task sends at most CELLS rows and the driver gets as many."""
+    schema = pa.schema([("cell", pa.int64()), ("held", pa.int64())])
+
+    def run(batches) -> Iterator[dict]:
+        held = np.zeros(CELLS, np.int64)
+        for b in batches:
+            for t in b.column(1).to_pylist():
+                np.add.at(held, cells(shingle_set(t, size)).astype(np.int64), 1)
+        at = np.flatnonzero(held)
+        yield {"cell": at, "held": held[at]}
+
+    rows = docs.mapInArrow(batch_rows(run, schema), "cell long, held long").groupBy("cell").agg(F.sum("held").alias("held"))
+    held = np.zeros(CELLS, np.int64)
+    for r in rows.collect():
+        held[r["cell"]] = r["held"]
+    return held > COMMON * max(held.mean(), 1)
+
+
 def star_pairs_of_sets(spark: SparkSession, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b): a set shares a class with the pivot a."""
+    far = Signer(percent)
+    small_classes = far.plan(len(far.bounds) - 4)[2] < 2
+    shared = spark.sparkContext.broadcast(common_cells(docs, size) if small_classes else None)  # CELLS bytes
+
     def signer():
-        own = Signer(percent)
+        own = Signer(percent, shared.value)
 
         def named(text: str | None):
             s = shingle_set(text, size)

@@ -93,10 +93,11 @@ def test_edit_automaton_and_keys():
                 assert set(line_dedup.line_keys(a, e).tolist()) & set(line_dedup.line_keys(b, e).tolist())
 
 
-@pytest.mark.parametrize("percent", [80, 85, 95])
-def test_linked_sets_share_a_class(percent):
+@pytest.mark.parametrize("percent, part", [(80, None), (80, 0.0), (80, 0.3), (80, 0.6), (80, 1.0), (85, None), (95, None)])
+def test_linked_sets_share_a_class(percent, part):
+    """``part``: how many of all shingles are common."""
     rng = np.random.default_rng(3)
-    signer = jaccard_join.Signer(percent)
+    signer = jaccard_join.Signer(percent, None if part is None else rng.random(jaccard_join.CELLS) < part)
     for n in [1, 2, 5, 6, 7, 9, 12, 15, 20, 27, 33, 50, 120, 700, 5000]:
         for _ in range(12):
             x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
