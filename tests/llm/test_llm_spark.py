@@ -230,3 +230,17 @@ def test_pipeline_against_brute_force(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
     got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == {d: library.encode(t, add_bos=True, add_eos=True) for d, t in texts.items()}
+
+
+def test_frequent_copies_stay_copies(spark):
+    """One edited and one cut copy in 50 documents each; the other n-grams of the items are in none."""
+    words = [f"q{k}" for k in range(30)]
+    edited = " ".join("other" if k in (7, 14, 21) else w for k, w in enumerate(words))
+    cut = " ".join(f"r{k}" for k in range(20))
+    items = spark.createDataFrame([(1, " ".join(words)), (2, cut + " " + " ".join(f"answer{k}" for k in range(12)))], "item_id long, text string")
+    rows = [(k, f"before {k} {edited} after") for k in range(50)] + [(100 + k, f"{cut} then {k}") for k in range(50)] + [(200, BASE)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_copies(spark, table, items).collect()}
+    assert set(got) == {(k, 1) for k in range(50)} | {(100 + k, 2) for k in range(50)}
+    assert got[3, 1].score == 51 / 60 and (got[3, 1].start_word, got[3, 1].end_word) == (2, 32)
+    assert (got[103, 2].start_word, got[103, 2].end_word) == (0, 20)

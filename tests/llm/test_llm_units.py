@@ -162,3 +162,29 @@ def test_records_come_back():
     raw = zip_warc.record(5, "http://x/\r\ny", "é\r\n\r\n".encode(), None)
     assert zip_warc.parse_record(raw)[:2] == (5, 6)
     assert zip_warc.parse_record(zip_warc.record(7, None, b"", 5))[3:] == ("revisit", 5)
+
+
+def test_filters_lose_no_alignment():
+    """Against whole alignments: few words, so that bounds are met closely; stretches are cut."""
+    for stretch, letters in ((1024, 4), (8, 5), (8, 12)):
+        decontaminate.STRETCH, before = stretch, decontaminate.STRETCH
+        try:
+            for _ in range(40):
+                items = [" ".join(f"w{R.randint(0, letters)}" for _ in range(R.randint(1, 12))) for _ in range(4)]
+                block = decontaminate.TestItems(list(enumerate(items)))
+                texts = []
+                for _ in range(6):
+                    words = [w for w in R.choice(items).split() for w in ([w], [], [w, "x"], ["y"], [w], [w])[R.randint(0, 5)]]
+                    texts.append(" ".join([f"w{R.randint(0, letters + 20)}" for _ in range(R.randint(0, 30))] + words + [f"w{R.randint(0, letters + 20)}" for _ in range(R.randint(0, 30))]))
+                for t, got in zip(texts, block.matches(texts, decontaminate.THRESHOLD)):
+                    own = decontaminate.words_of(t)
+                    want = {}
+                    for k, item in enumerate(block.words):
+                        s = decontaminate.align(item, own[None], np.array([len(own)]))[0][0] / (2 * len(item)) if len(own) else 0
+                        if s >= decontaminate.THRESHOLD:
+                            want[k] = s
+                    assert {k: s for k, s, _, _ in got} == want
+                    for k, s, a, b in got:
+                        assert decontaminate.align(block.words[k], own[None, a:b], np.array([b - a]))[0][0] == pytest.approx(s * 2 * len(block.words[k]))
+        finally:
+            decontaminate.STRETCH = before
