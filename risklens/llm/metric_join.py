@@ -73,15 +73,20 @@ def _with_comp(rows: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def open_items(measured: DataFrame, comp: DataFrame) -> DataFrame:
-    """(id): members of star regions that hold several components, and members
-    of regions whose pivot is one of those."""
+    """(id): members of star regions that hold several components, and of the regions
+    above and below. Two items that share a signature are in stars of two pivots at
+    most, themselves in the star of one: where the items are in different components,
+    one of these three regions holds several. From its pivot one step up and from
+    there two steps down reach both items, and so does one step down from its members."""
     stars = measured.select(F.col("a").alias("pivot"), F.col("b").alias("id"))
     ends = _with_comp(_with_comp(stars, comp).select("pivot", F.col("comp").alias("own"), F.col("pivot").alias("id")), comp)
     mixed = ends.where("own <> comp").select("pivot").distinct()
     inside = stars.join(mixed, "pivot")
     first = inside.select("id").union(inside.select("pivot")).distinct()
-    around = stars.join(first.withColumnRenamed("id", "pivot"), "pivot", "left_semi").select("id")
-    return first.union(around).distinct()
+    below = lambda ids: stars.join(ids.withColumnRenamed("id", "pivot"), "pivot", "left_semi").select("id")
+    above = stars.join(mixed.withColumnRenamed("pivot", "id"), "id", "left_semi").select(F.col("pivot").alias("id")).distinct()
+    near = first.union(above).union(below(above)).distinct()
+    return near.union(below(near)).distinct()
 
 
 def _sided(rows: DataFrame, comp: DataFrame) -> DataFrame:

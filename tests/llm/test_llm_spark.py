@@ -244,3 +244,17 @@ def test_frequent_copies_stay_copies(spark):
     assert set(got) == {(k, 1) for k in range(50)} | {(100 + k, 2) for k in range(50)}
     assert got[3, 1].score == 51 / 60 and (got[3, 1].start_word, got[3, 1].end_word) == (2, 32)
     assert (got[103, 2].start_word, got[103, 2].end_word) == (0, 20)
+
+
+def test_links_across_tasks(spark):
+    """Stars (P2, P1), (P2, B), (P1, A): P1, P2 and B are linked, A is near B alone."""
+    from risklens.llm import metric_join
+    from risklens.llm.components import components
+    p2, p1, b, a = 1, 2, 3, 4
+    place = {p2: 0.0, p1: 0.0, b: 1.0, a: 2.0}
+    items = spark.createDataFrame([(k, x, 0.0) for k, x in place.items()], "id long, payload double, size double")
+    stars = spark.createDataFrame([(p2, p1), (p2, b), (p1, a)], "a long, b long")
+    links = metric_join.connect(spark, stars, items, lambda x, y: (abs(x - y) <= 1, abs(x - y)), 1.0, 1.0,
+                                lambda ids: ids.withColumn("region", metric_join.F.lit(0).cast("long")))
+    assert {r.comp for r in components(spark, links).where(f"id in ({p1}, {p2}, {b}, {a})").collect()} == {p2}
+    assert (a,) in components(spark, links).select("id").collect()
