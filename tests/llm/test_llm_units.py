@@ -188,3 +188,12 @@ def test_filters_lose_no_alignment():
                         assert decontaminate.align(block.words[k], own[None, a:b], np.array([b - a]))[0][0] == pytest.approx(s * 2 * len(block.words[k]))
         finally:
             decontaminate.STRETCH = before
+
+
+def test_short_items_unspaced_scripts_and_dense_edits():
+    items = ["lonely row", "東京は日本の首都です", " ".join(f"a{k}" for k in range(30))]
+    texts = ["here a lonely row stands inside", "昨日、東京は日本の首都でした。そうですか",
+             "so " + " ".join("x" if k % 3 == 2 else f"a{k}" for k in range(30)) + " on", "大阪に行きました", "none of them"]
+    got = decontaminate.TestItems(list(enumerate(items))).matches(texts, decontaminate.THRESHOLD)
+    assert [[m[0] for m in ms] for ms in got] == [[0], [1], [2], [], []]
+    assert got[0][0][1:] == (1.0, 2, 4) and got[2][0][1] >= 0.5
