@@ -9,7 +9,10 @@ equal partner may have, the substrings at those places. Lines that share such a
 key form a region; ``metric_join`` measures them with a banded bit-parallel
 automaton and joins the regions, for edit distance is a metric as well.
 
-Lines under ``min_chars`` take part by equality only. Of a class of equal and
+Shorter lines may differ in fewer edits, at the same rate (``edits`` of ``min_chars``
+characters: one from 12 on, two from 24 on), for in few characters two edits make
+another line; keys of each number of edits are written by the lengths that it serves.
+Lines that not even one edit is due to are merged where equal. Of a class of equal and
 near lines (all that links reach) the first occurrence, by document id and
 line number, stays.
 
@@ -36,6 +39,7 @@ from risklens.llm.components import components
 from risklens.llm.metric_join import SMALL, connect
 
 EDITS = 2
+#: Characters from which all EDITS are allowed.
 MIN_CHARS = 24
 #: Regions with more lines outside their largest class are compared in blocks.
 DIRECT = 24
@@ -94,6 +98,27 @@ def line_keys(line: str, edits: int) -> np.ndarray:
     return np.fromiter(keys, np.uint64, len(keys))
 
 
+def allowed(length: int, edits: int, min_chars: int) -> int:
+    """Edits that may part two lines, the shorter of which has ``length`` characters."""
+    return edits if length >= min_chars else length * edits // min_chars
+
+
+def keys_of_all(line: str, edits: int, min_chars: int) -> np.ndarray:
+    """``line_keys`` for each number of edits that a pair with this line may have."""
+    n, out = len(line), []
+    for e in range(max(allowed(max(n - edits, 0), edits, min_chars), 1), allowed(n, edits, min_chars) + 1):
+        # for e edits the shorter line is allowed e, the longer one may be allowed more
+        if allowed(max(n - e, 0), edits, min_chars) <= e:
+            own = line_keys(line, e)
+            out.append(own if e == edits else own ^ np.uint64(e * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    return np.concatenate([*out, np.empty(0, np.uint64)])
+
+
+def near(x: str, y: str, edits: int, min_chars: int) -> bool:
+    e = allowed(min(len(x), len(y)), edits, min_chars)
+    return within(x, y, e) <= e
+
+
 def within(x: str, y: str, edits: int) -> int:
     """Edit distance, or ``edits + 1`` if it is larger. An automaton over the band:
     for each number of edits a word of bits, one for each diagonal."""
@@ -158,8 +183,8 @@ def line_stars(spark: SparkSession, docs: DataFrame, edits: int, min_chars: int)
     def signer():
         def named(text: str | None):
             for x in lines_of(text):
-                if len(x) >= min_chars:
-                    yield line_id(x), lambda x=x: line_keys(x, edits)
+                if allowed(len(x), edits, min_chars):
+                    yield line_id(x), lambda x=x: keys_of_all(x, edits, min_chars)
         return named
 
     return star_pairs(spark, docs, signer, KEY_RATIO)
@@ -185,13 +210,13 @@ def line_items(spark: SparkSession, docs: DataFrame, rows: DataFrame, ids: DataF
     return stored(spark, found.dropDuplicates(["id"]), "lines")
 
 
-def key_regions(items: DataFrame, ids: DataFrame, edits: int) -> DataFrame:
+def key_regions(items: DataFrame, ids: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """(region, id): the lines ``ids`` by each of their keys."""
     schema = pa.schema([("region", pa.int64()), ("id", pa.int64())])
 
     def run(batches) -> Iterator[dict]:
         for b in batches:
-            keys = [line_keys(x, edits).view(np.int64) for x in b.column(1).to_pylist()]
+            keys = [keys_of_all(x, edits, min_chars).view(np.int64) for x in b.column(1).to_pylist()]
             yield {"region": np.concatenate([*keys, np.empty(0, np.int64)]), "id": np.repeat(np.array(b.column(0).to_pylist(), np.int64), [len(k) for k in keys])}
 
     return items.join(ids, "id").select("id", "payload").mapInArrow(batch_rows(run, schema), "region long, id long")
@@ -206,10 +231,10 @@ def line_classes(spark: SparkSession, docs: DataFrame, edits: int = EDITS, min_c
 
     def distance(x: str, y: str) -> tuple[bool, float]:
         d = within(x, y, 3 * edits)  # cut off above: a metric still, with the same links
-        return d <= edits, d
+        return d <= allowed(min(len(x), len(y)), edits, min_chars), d
 
-    links = connect(spark, stars, items, distance, edits, edits, lambda ids: key_regions(items, ids, edits), None, small,
-                    direct=DIRECT, linked=lambda x, y: within(x, y, edits) <= edits)
+    links = connect(spark, stars, items, distance, edits, edits, lambda ids: key_regions(items, ids, edits, min_chars), None, small,
+                    direct=DIRECT, linked=lambda x, y: near(x, y, edits, min_chars))
     return rows, components(spark, links)
 
 

@@ -197,3 +197,18 @@ def test_short_items_unspaced_scripts_and_dense_edits():
     got = decontaminate.TestItems(list(enumerate(items))).matches(texts, decontaminate.THRESHOLD)
     assert [[m[0] for m in ms] for ms in got] == [[0], [1], [2], [], []]
     assert got[0][0][1:] == (1.0, 2, 4) and got[2][0][1] >= 0.5
+
+
+def test_short_lines_share_a_key():
+    for _ in range(4000):
+        a = "".join(R.choice("ab ") for _ in range(R.randint(10, 29)))
+        b = list(a)
+        for _ in range(R.randint(0, 2)):
+            k = R.randint(0, len(b))
+            b[k:k + R.randint(0, 1)] = R.choice(["", "a", "d"])
+        b = "".join(b)
+        e = 2 if min(len(a), len(b)) >= 24 else 1 if min(len(a), len(b)) >= 12 else 0
+        assert line_dedup.near(a, b, 2, 24) == (edit_distance(a, b) <= e)
+        if e and edit_distance(a, b) <= e:
+            assert set(line_dedup.keys_of_all(a, 2, 24).tolist()) & set(line_dedup.keys_of_all(b, 2, 24).tolist())
+    assert line_dedup.near("Share this page", "Share this page!", 2, 24)
