@@ -18,8 +18,8 @@ line number, stays.
 
 Edge cases: null texts have no lines; blank lines are never repeats and stay;
 documents without ids come last in the order; rows equal in id are told apart by
-their texts, and wholly equal rows are one document; documents without lines
-aren't in the query's result; empty tables give empty results; other columns
+their texts, and wholly equal rows are one document with one result each; documents
+without lines have counts of 0 in the query's result; empty tables give empty results; other columns
 are ignored.
 """
 
@@ -239,7 +239,8 @@ def line_classes(spark: SparkSession, docs: DataFrame, edits: int = EDITS, min_c
 
 
 def dropped_lines(spark: SparkSession, docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, small: int = SMALL) -> DataFrame:
-    """(doc_id, text_id, line_no, keep) of every line: does it stay?"""
+    """(doc_id, text_id, line_no, keep, first_doc, first_line) of every line: does it
+    stay, and where is the line of its class that does?"""
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows, comp = line_classes(spark, docs, edits, min_chars, small)
@@ -247,12 +248,34 @@ def dropped_lines(spark: SparkSession, docs: DataFrame, edits: int = EDITS, min_
     first = rows.groupBy("id").agg(F.min(rank).alias("rank")).join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     least = first.groupBy("comp").agg(F.min("rank").alias("least"))
     kept = first.join(least, "comp").select("id", "least")
-    return rows.join(kept, "id").select("doc_id", "text_id", "line_no", (rank == F.col("least")).alias("keep"))
+    return rows.join(kept, "id").select("doc_id", "text_id", "line_no", (rank == F.col("least")).alias("keep"),
+                                        F.col("least.doc_id").alias("first_doc"), F.col("least.line_no").alias("first_line"))
+
+
+def document_names(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_id) of every document, also of those without lines."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_id", pa.int64())])
+
+    def run(batches) -> Iterator[dict]:
+        for b in batches:
+            yield {"doc_id": b.column(0), "text_id": [line_id(t or "") for t in b.column(1).to_pylist()]}
+
+    return docs.mapInArrow(batch_rows(run, schema), "doc_id long, text_id long")
+
+
+def line_counts(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, dropped, kept) of every row of ``docs``; ``kept``: for
+    each dropped line the place (doc_id, line_no) of the line of its class that stays."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    gone = F.sort_array(F.collect_list(F.when(~F.col("keep"), F.struct("line_no", "first_doc", "first_line"))))
+    per = dropped_lines(spark, docs).groupBy(F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text")).agg(F.count("*").alias("n_lines"), gone.alias("gone"))
+    every = document_names(docs).join(per, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_id") == F.col("_text")), "left")
+    none = F.expr("cast(array() as array<struct<line_no: bigint, first_doc: bigint, first_line: bigint>>)")
+    return every.withColumn("gone", F.coalesce("gone", none)).select(
+        "doc_id", F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"),
+        F.col("gone.line_no").alias("dropped"),
+        F.transform("gone", lambda g: F.struct(g["first_doc"].alias("doc_id"), g["first_line"].alias("line_no"))).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    per = dropped_lines(spark, docs).groupBy("doc_id", "text_id").agg(
-        F.count("*").alias("n_lines"), F.count(F.when(~F.col("keep"), 1)).alias("n_dropped"),
-        F.sort_array(F.collect_list(F.when(~F.col("keep"), F.col("line_no")))).alias("dropped"))
-    return per.drop("text_id")
+    return line_counts(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -258,3 +258,12 @@ def test_links_across_tasks(spark):
                                 lambda ids: ids.withColumn("region", metric_join.F.lit(0).cast("long")))
     assert {r.comp for r in components(spark, links).where(f"id in ({p1}, {p2}, {b}, {a})").collect()} == {p2}
     assert (a,) in components(spark, links).select("id").collect()
+
+
+def test_line_counts_of_every_document(spark):
+    line = "a line that stands in some of the documents"
+    rows = [(1, None), (2, ""), (3, " \n"), (4, f"own words of this one document\n{line}"), (5, f"Share this page\n{line}!"), (6, "Share this page!"), (6, "Share this page!"), (None, line)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_lines, r.n_dropped, r.dropped, [tuple(k) for k in r.kept]) for r in line_dedup.line_counts(spark, docs).collect())
+    assert got == [(0, 1, 1, [0], [(4, 1)]), (1, 0, 0, [], []), (2, 0, 0, [], []), (3, 0, 0, [], []), (4, 2, 0, [], []),
+                   (5, 2, 1, [1], [(4, 1)]), (6, 1, 1, [0], [(5, 0)]), (6, 1, 1, [0], [(5, 0)])]
