@@ -42,6 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from risklens.llm.classes import star_pairs
 from risklens.llm.common import batch_rows, bounded_batches, stored
@@ -228,6 +229,12 @@ def jaccard_distance(percent: int):
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = NEAR_WORDS, percent: int = NEAR_PERCENT, small: int = SMALL) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+    return jaccard_groups(spark, docs, size, percent, small).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_groups(spark: SparkSession, docs: DataFrame, size: int, percent: int, small: int = SMALL) -> DataFrame:
+    """(doc_id, id, comp, n_shingles, component_id) of every row of ``docs``: with the
+    names of its set and of its group (null where the set is empty)."""
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sets = stored(spark, document_sets(docs, size), "sets")
@@ -241,8 +248,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = NEAR_WO
     comp = components(spark, links)
     groups = named.join(comp, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "doc_id")
     least = groups.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    names = groups.join(least, "comp").select("id", "component_id")
-    return sets.join(names, "id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    names = groups.join(least, "comp").select("id", "comp", "component_id")
+    return sets.join(names, "id", "left").select("doc_id", "id", "comp", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def set_items(spark: SparkSession, docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -271,8 +278,24 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of linked documents (NEAR_WORDS, NEAR_PERCENT) the
-    one of least id stays (of rows that share that id, those that have the group's name)."""
-    groups = jaccard_components(spark, docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    """Pipeline stage: of each group of linked documents (NEAR_WORDS, NEAR_PERCENT) one row
+    stays, that of least id (null ids last, then by the set's name); empty ones all stay."""
+    groups = stored(spark, jaccard_groups(spark, docs, NEAR_WORDS, NEAR_PERCENT).select("doc_id", "id", "comp"), "groups")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "id")
+    first = groups.where("id is not null").groupBy("comp").agg(F.min(rank).alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.id").alias("_name"))
+    held = groups.where("id is not null").groupBy(F.col("doc_id").alias("_id"), F.col("id").alias("_name")).count().where("count > 1")
+    empty = groups.where("id is null").select(F.col("doc_id").alias("_id"), F.col("id").alias("_name")).distinct()
+    kept = first.unionByName(empty)
+    schema = StructType([*docs.schema.fields, StructField("_set", LongType())])
+    at = docs.columns.index("text")
+
+    def name(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, NEAR_WORDS) for t in b.column(at).to_pylist()]
+            yield b.append_column("_set", pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()))
+
+    rows = docs.mapInArrow(name, schema)
+    rows = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept["_id"]) & rows["_set"].eqNullSafe(kept["_name"]), "left_semi")
+    if not held.isEmpty():  # rows equal in id and set: one of them, whatever else they hold
+        rows = rows.where("_set is null").unionByName(rows.where("_set is not null").dropDuplicates(["doc_id", "_set"]))
+    return rows.drop("_set")

@@ -267,3 +267,12 @@ def test_line_counts_of_every_document(spark):
     got = sorted((r.doc_id or 0, r.n_lines, r.n_dropped, r.dropped, [tuple(k) for k in r.kept]) for r in line_dedup.line_counts(spark, docs).collect())
     assert got == [(0, 1, 1, [0], [(4, 1)]), (1, 0, 0, [], []), (2, 0, 0, [], []), (3, 0, 0, [], []), (4, 2, 0, [], []),
                    (5, 2, 1, [1], [(4, 1)]), (6, 1, 1, [0], [(5, 0)]), (6, 1, 1, [0], [(5, 0)])]
+
+
+def test_one_row_of_each_group_stays(spark):
+    other, third = BASE.replace("base", "second"), BASE.replace("base", "third")
+    rows = [(7, BASE), (None, BASE + " end"), (None, "a row alone"), (None, other), (None, other + " end"), (9, third), (9, third + " end"), (9, third + " !"), (9, "own words"),
+            (None, None), (3, ""), (3, " ")]
+    kept = jaccard_join.keep_one(spark, spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, id long"), SF).collect()
+    left = [(r.doc_id, (r.text or "").split(" ")[0]) for r in kept]
+    assert sorted(left, key=str) == sorted([(7, "base0"), (None, "a"), (None, "second0"), (9, "third0"), (9, "own"), (None, ""), (3, ""), (3, "")], key=str)
