@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from risklens.llm import chat_tree, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, periodic_runs, phrases, pieces, token_counts, url_filters, zip_warc
+from risklens.llm import chat_tree, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, minhash_dedup, periodic_runs, phrases, pieces, token_counts, url_filters, zip_warc
 
 QUERIES = {
     "op1_sentencepiece": (pieces.query, None),
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard_join": (jaccard_join.query, None),
     "op9_line_dedup": (line_dedup.query, None),
     "op10_decontaminate": (decontaminate.query, None),
+    "op11_minhash_dedup": (minhash_dedup.query, None),
     "op12_periodic_runs": (periodic_runs.query, None),
     "op13_phrases": (phrases.query, phrases.SQL),
 }
