@@ -5,13 +5,15 @@ union``. The result are the components of all links.
 
 1. **Bands.** BANDS x ROWS minimum hashes of each set; sets that agree on all of a band
    are candidates. At similarity 0.8 a pair agrees on no band with a chance of 3e-6.
-2. **Stars.** In each band's group the least set is compared with the others. What links
-   is joined to components, and a group whose members are all in one is finished, so
-   a group of thousands of copies costs one comparison for each.
-3. **Signature batches.** The members of the other groups are dealt into blocks of BLOCK;
-   every two blocks meet in a task of their own and compare those in different
-   components, which returns candidates only, never all pairs.
-4. **Sequential verification** of the pairs of 2 and 3: CHECKS further hashes of 8 bits are
+2. **Stars.** In each band's group a drawn set is compared with those that aren't in its
+   component yet, and what links is joined. A group whose members are all in one
+   component is finished, so thousands of copies cost a few comparisons each. The
+   groups that are left get another pivot, TURNS times in all.
+3. **Signature batches.** The members of the groups that remain are dealt into blocks of
+   BLOCK. Every two blocks meet in a task of their own, which compares members of
+   different components and returns the links that join them: never more than it has
+   members, and never pairs.
+4. **Sequential verification** of all pairs of 2 and 3: CHECKS further hashes of 8 bits are
    compared BATCH at a time. After each batch the posterior of the similarity (of a
    uniform prior) says how likely the threshold is still reached; a pair goes as soon
    as that is below ``miss``. Survivors are verified exactly on their full sets.
@@ -49,8 +51,10 @@ BANDS, ROWS = 32, 5
 #: that a pair that is dropped links.
 CHECKS, BATCH, MISS = 128, 16, 1e-6
 #: Members of a block, and signatures that a task holds before it writes them.
-BLOCK = 512
+BLOCK = 2048
 FLUSH = 1 << 20
+#: Rounds of stars.
+TURNS = 3
 #: Shingles that are hashed at once.
 CHUNK = 1024
 #: Bytes of signatures for a byte of stored input; sizes partitions only.
@@ -235,9 +239,8 @@ def wanted_items(spark: SparkSession, docs: DataFrame, wanted: DataFrame, size:
     return stored(spark, rows.dropDuplicates(["id"]), "items")
 
 
-def verify(spark: SparkSession, pairs: DataFrame, items: DataFrame, percent: int, checked: bool) -> DataFrame:
-    """(a, b) of the distinct ``pairs`` that link: signatures first (unless they are
-    ``checked`` already), then the full sets."""
+def verify(spark: SparkSession, pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the distinct ``pairs`` that link: signatures first, then the full sets."""
     least = least_matches(percent, MISS)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -262,14 +265,15 @@ def verify(spark: SparkSession, pairs: DataFrame, items: DataFrame, percent: int
         y = items.select(F.col("id").alias("b"), F.col(column).alias("y"))
         return rows.join(x, "a").join(y, "b").select("a", "b", "x", "y")
 
-    if not checked:
-        pairs = stored(spark, with_(pairs, "checks").mapInArrow(batch_rows(batches_of, schema), "a long, b long"), "checked")
+    pairs = stored(spark, with_(pairs, "checks").mapInArrow(batch_rows(batches_of, schema), "a long, b long"), "checked")
     return stored(spark, with_(pairs, "payload").mapInArrow(batch_rows(exact, schema), "a long, b long"), "links")
 
 
-def block_pairs(rows: DataFrame, percent: int, block: int) -> DataFrame:
-    """(a, b): pairs in a group (sig, id, comp, held, checks, size), of different
-    components, that sizes and signatures don't rule out."""
+def block_links(rows: DataFrame, percent: int, block: int) -> DataFrame:
+    """(a, b): links between different components inside a group (sig, id, comp, held,
+    checks, size, payload), as few as join them. Blocks of a group meet in pairs;
+    what sizes and signatures don't rule out is verified there, on the full sets,
+    unless the links so far join it already."""
     least = least_matches(percent, MISS)
     blocks = F.ceil(F.col("held") / block)
     rows = rows.withColumns({"blocks": blocks, "mine": F.pmod(F.xxhash64("id"), blocks)})
@@ -278,19 +282,32 @@ def block_pairs(rows: DataFrame, percent: int, block: int) -> DataFrame:
     def meet(t: pa.Table) -> pa.Table:
         ids, comp, mine, n = (t[c].to_numpy() for c in ("id", "comp", "mine", "size"))
         sig = np.frombuffer(b"".join(t["checks"].to_pylist()), np.uint8).reshape(-1, CHECKS)
+        payload = t["payload"]
         apart = t["lo"][0] != t["hi"][0]
-        a, b = [], []
+        parent: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        pairs = []
         for k in range(len(ids)):
             may = (comp != comp[k]) & (ids > ids[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
             if apart:
                 may &= mine != mine[k]  # pairs inside a block meet in that block's own group
             at = np.flatnonzero(may)
-            if len(at):
-                at = at[survivors(np.broadcast_to(sig[k], (len(at), CHECKS)), sig[at], least)]
-                a.append(np.full(len(at), ids[k]))
-                b.append(ids[at])
-        none = [np.empty(0, np.int64)]
-        return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+            own = np.frombuffer(payload[k].as_py(), np.uint64) if len(at) else None
+            for j in at[survivors(np.broadcast_to(sig[k], (len(at), CHECKS)), sig[at], least)].tolist() if len(at) else ():
+                x, y = find(int(comp[k])), find(int(comp[j]))
+                if x == y:
+                    continue
+                common = overlap(own, np.frombuffer(payload[j].as_py(), np.uint64))
+                if 100 * common >= percent * (n[k] + n[j] - common):
+                    parent[max(x, y)] = min(x, y)
+                    pairs.append((ids[k], ids[j]))
+        a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+        return pa.table({"a": a, "b": b})
 
     grouped = rows.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")}).groupBy("sig", "lo", "hi")
     return grouped.applyInArrow(meet, "a long, b long")
@@ -311,18 +328,25 @@ def near_components(spark: SparkSession, docs: DataFrame, size: int = WORDS, per
     items = wanted_items(spark, docs, wanted, size)
     # groups of the same members, whatever the band, are one group
     members = groups.join(wanted.select("name", "id"), "name").select("sig", "id")
-    shape = members.groupBy("sig").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("shape"), F.count("*").alias("held"), F.min("id").alias("pivot"))
-    once = shape.groupBy("shape", "held", "pivot").agg(F.min("sig").alias("sig"))
-    members = stored(spark, members.join(once.select("sig", "held", "pivot"), "sig"), "members")
-    star = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = verify(spark, star, items, percent, checked=False)
-    comp = components(spark, links)
-    sided = stored(spark, members.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "sided")
-    mixed = sided.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sig")
-    rows = sided.join(mixed, "sig", "left_semi").join(items.select("id", "checks", "size"), "id")
-    pairs = stored(spark, block_pairs(rows, percent, block).distinct(), "pairs")
-    links = links.unionByName(verify(spark, pairs, items, percent, checked=True))
-    comp = components(spark, links)
+    shape = members.groupBy("sig").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("shape"), F.count("*").alias("held"), F.min("id").alias("least"))
+    once = shape.groupBy("shape", "held", "least").agg(F.min("sig").alias("sig"))
+    members = stored(spark, members.join(once.select("sig", "held"), "sig"), "members")
+    open_, links, comp = members.withColumn("comp", F.col("id")), None, None
+    for turn in range(TURNS):
+        draw = F.struct(F.xxhash64("id", F.lit(turn)), "id", "comp")
+        pivot = open_.groupBy("sig").agg(F.min(draw).alias("pivot")).select("sig", F.col("pivot.id").alias("p"), F.col("pivot.comp").alias("own"))
+        star = open_.join(pivot, "sig").where("comp <> own").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
+        found = verify(spark, star, items, percent)
+        links = found if links is None else links.unionByName(found)
+        comp = components(spark, links)
+        sided = members.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        mixed = sided.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sig")
+        open_ = stored(spark, sided.join(mixed, "sig", "left_semi"), "open")
+        if open_.isEmpty():
+            break
+    rest = stored(spark, block_links(open_.join(items, "id"), percent, block).distinct(), "links")
+    if not rest.isEmpty():
+        comp = components(spark, links.unionByName(rest))
     groups = wanted.join(comp, "id").select("name", "comp", "least")
     least = groups.groupBy("comp").agg(F.min("least").alias("component_id"))
     names = groups.join(least, "comp").select("name", F.lit(True).alias("linked"), "component_id")

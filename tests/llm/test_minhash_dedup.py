@@ -79,7 +79,7 @@ def some_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,block", [(1, 512), (2, 8)])
+@pytest.mark.parametrize("seed,block", [(1, 2048), (2, 8)])
 def test_all_pairs(spark, seed, block):
     rows = some_rows(seed)
     docs = spark.createDataFrame([(i, t, b"x", 1, 2) for i, t in rows], "doc_id long, text string, name binary, own int, id int").repartition(7)
