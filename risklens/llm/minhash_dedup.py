@@ -54,7 +54,7 @@ CHECKS, BATCH, MISS = 128, 16, 1e-6
 BLOCK = 2048
 FLUSH = 1 << 20
 #: Rounds of stars.
-TURNS = 3
+TURNS = 2
 #: Shingles that are hashed at once.
 CHUNK = 1024
 #: Bytes of signatures for a byte of stored input; sizes partitions only.
