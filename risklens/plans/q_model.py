@@ -9,18 +9,19 @@ go under the shared ``spark.checkpoint.dir`` folder.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from risklens import constants as C
-from risklens.operators import attribution, drift, metrics
+from risklens.operators import attribution, drift, metrics, tree_paths
 from risklens.operators.ensemble import EnsembleParams
 from risklens.operators.registry import Registry
 from risklens.plans import training
 from risklens.plans.catalog import query
 from risklens.plans.oracle_tables import with_tables
 from risklens.plans.q_drift import drift_all_sql
-from risklens.plans.q_features import master
+from risklens.plans.q_features import encoded_master, feature_sql, master
 from risklens.plans.scoring import ingest_scored, score_upload
 from risklens.session import run_dir, shared_path
 from risklens.sources import testdata as T
@@ -126,7 +127,7 @@ def attribution_probability_map():
 
 @query("explain_batch")
 def q_explain_batch(spark, sf_dir):
-    """Permutation-sampling Shapley values of the forest for the
+    """Exact Shapley values of the forest for the
     ensemble's class, top-3 factors with suggestions, for every row."""
     art = artifacts(spark, sf_dir)
     s = score_upload(upload_rows(spark, sf_dir), art, explain=True)
@@ -134,6 +135,51 @@ def q_explain_batch(spark, sf_dir):
                     "top_factor_1", "top_factor_2", "top_factor_3")
 
 
+#: A given forest of three trees: (tree, node, feature, threshold, left, right, value).
+GIVEN_NODES = [
+    (0, 0, 9, 120.5, 1, 2, None), (0, 1, 11, 6.5, 3, 4, None), (0, 2, -1, None, -1, -1, [0.05]), (0, 3, -1, None, -1, -1, [0.30]), (0, 4, 9, 40.5, 5, 6, None),
+    (0, 5, -1, None, -1, -1, [0.20]), (0, 6, -1, None, -1, -1, [0.10]),
+    (1, 0, 7, 75.5, 1, 2, None), (1, 1, 0, 0.5, 3, 4, None), (1, 2, 8, 55.25, 5, 6, None), (1, 3, -1, None, -1, -1, [0.02]), (1, 4, -1, None, -1, -1, [0.08]),
+    (1, 5, -1, None, -1, -1, [0.33]), (1, 6, -1, None, -1, -1, [0.15]),
+    (2, 0, 11, 9.5, 1, 2, None), (2, 1, -1, None, -1, -1, [0.25]), (2, 2, -1, None, -1, -1, [0.01])]
+#: Background rows of the given forest: the first by key.
+GIVEN_BACKGROUND = 8
+
+
+@query("tree_attribution", feature_sql("encoded", f"""
+SELECT code_module, code_presentation, id_student, feature, round(sum(phi) / {GIVEN_BACKGROUND}, 9) AS value FROM (
+  WITH iv(tree, leaf, worth, feature, lo, hi) AS (VALUES
+    (0, 2, 0.05, 'sum_clicks', 120.5, 1e300), (0, 3, 0.30, 'sum_clicks', -1e300, 120.5), (0, 3, 0.30, 'days_active', -1e300, 6.5),
+    (0, 5, 0.20, 'sum_clicks', -1e300, 40.5), (0, 5, 0.20, 'days_active', 6.5, 1e300), (0, 6, 0.10, 'sum_clicks', 40.5, 120.5), (0, 6, 0.10, 'days_active', 6.5, 1e300),
+    (1, 3, 0.02, 'studied_credits', -1e300, 75.5), (1, 3, 0.02, 'gender', -1e300, 0.5), (1, 4, 0.08, 'studied_credits', -1e300, 75.5), (1, 4, 0.08, 'gender', 0.5, 1e300),
+    (1, 5, 0.33, 'studied_credits', 75.5, 1e300), (1, 5, 0.33, 'weighted_avg_score', -1e300, 55.25), (1, 6, 0.15, 'studied_credits', 75.5, 1e300),
+    (1, 6, 0.15, 'weighted_avg_score', 55.25, 1e300), (2, 1, 0.25, 'days_active', -1e300, 9.5), (2, 2, 0.01, 'days_active', 9.5, 1e300)),
+  v AS (SELECT code_module, code_presentation, id_student, feature, CAST(v AS DOUBLE) AS v FROM (
+        SELECT code_module, code_presentation, id_student, unnest([{', '.join(f"'{c}'" for c in C.FEATURES)}]) AS feature,
+               unnest([{', '.join(f'CAST({c} AS DOUBLE)' for c in C.FEATURES)}]) AS v FROM encoded)),
+  z AS (SELECT dense_rank() OVER (ORDER BY code_module, code_presentation, id_student) AS z, feature, v FROM v),
+  pairs AS (SELECT x.code_module, x.code_presentation, x.id_student, z.z, iv.tree, iv.leaf, iv.feature, iv.worth,
+                   CAST(x.v > lo AND x.v <= hi AS INTEGER) AS a, CAST(z.v > lo AND z.v <= hi AS INTEGER) AS b
+            FROM iv JOIN v x ON x.feature = iv.feature JOIN z ON z.feature = iv.feature AND z.z <= {GIVEN_BACKGROUND}),
+  leaves AS (SELECT *, sum(a * (1 - b)) OVER w AS p, sum(b * (1 - a)) OVER w AS q, sum((1 - a) * (1 - b)) OVER w AS bad FROM pairs
+             WINDOW w AS (PARTITION BY code_module, code_presentation, id_student, z, tree, leaf))
+  SELECT code_module, code_presentation, id_student, feature,
+         CASE WHEN bad > 0 OR a = b THEN 0.0 WHEN a = 1 THEN worth * CAST(factorial(CAST(p - 1 AS INTEGER)) * factorial(CAST(q AS INTEGER)) AS DOUBLE) / CAST(factorial(CAST(p + q AS INTEGER)) AS DOUBLE)
+              ELSE -worth * CAST(factorial(CAST(p AS INTEGER)) * factorial(CAST(q - 1 AS INTEGER)) AS DOUBLE) / CAST(factorial(CAST(p + q AS INTEGER)) AS DOUBLE) END AS phi FROM leaves
+  UNION ALL SELECT code_module, code_presentation, id_student, feature, 0.0 FROM v) GROUP BY ALL"""))
+def q_tree_attribution(spark, sf_dir):
+    """Exact Shapley values of a given forest for every student, against a
+    background of the first rows by key."""
+    rows = encoded_master(spark, sf_dir)
+    key = F.struct(*C.STUDENT_KEYS)
+    z = rows.orderBy(*C.STUDENT_KEYS).limit(GIVEN_BACKGROUND).select(*[F.col(c).cast("double") for c in C.FEATURES]).collect()
+    background = np.array([[np.nan if v is None else v for v in r] for r in z], float).reshape(-1, len(C.FEATURES))
+    nodes = spark.createDataFrame(GIVEN_NODES, tree_paths.NODES)
+    patterns = tree_paths.with_background(tree_paths.leaf_paths(nodes), background)
+    values = tree_paths.shapley_values(rows.withColumns({"key": key, "cls": F.lit(0)}), "key", "cls", C.FEATURES, patterns)
+    return values.select("key.*", "feature", F.round("value", 9).alias("value"))
+
+
 @query("explain_fallback")
 def q_explain_fallback(spark, sf_dir):
     """Forest importances as the factor values when attribution fails."""

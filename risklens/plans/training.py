@@ -11,11 +11,12 @@ from __future__ import annotations
 from dataclasses import astuple, dataclass
 from datetime import datetime, timezone
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from risklens import constants as C
-from risklens.operators import attribution, encode, metrics, split
+from risklens.operators import attribution, encode, metrics, split, tree_paths
 from risklens.operators.ensemble import (N_CLASSES, EnsembleModel, EnsembleParams, soft_vote,
                                          train_ensemble)
 from risklens.operators.registry import Registry
@@ -31,7 +32,7 @@ class TrainResult:
     path: str
     metadata: dict
     test_scored: DataFrame
-    background: DataFrame
+    patterns: DataFrame
 
 
 def prepare(master: DataFrame, fit_on: str = "train", codes: DataFrame | None = None,
@@ -85,7 +86,7 @@ def member_predictions(test_scored: DataFrame) -> DataFrame:
 _CACHE: dict = {}
 
 #: Training rows kept with a version as the background of its attributions.
-BACKGROUND_ROWS = 10
+BACKGROUND_ROWS = 50
 
 
 def source_state(df: DataFrame) -> str:
@@ -140,18 +141,27 @@ def train(spark: SparkSession, master: DataFrame, model_root: str,
     codes.write.mode("overwrite").parquet(f"{path}/region_codes")
     attribution.background_sample(train_rows, BACKGROUND_ROWS).write.mode("overwrite").parquet(
         f"{path}/background")
+    save_patterns(spark, path)
     reg.append(version, "trained", meta)
     reg.append(version, "activated", meta)
     rows.unpersist()
     codes_saved = spark.read.parquet(f"{path}/region_codes")
     result = TrainResult(model, scaler, codes_saved, version, path, meta, test_scored,
-                         spark.read.parquet(f"{path}/background"))
+                         spark.read.parquet(f"{path}/patterns"))
     if key is not None:
         _CACHE[key] = result
     return result
 
 
-ARTIFACT_FORMAT = "a2"
+ARTIFACT_FORMAT = "a3"
+
+
+def save_patterns(spark: SparkSession, path: str) -> None:
+    """The saved forest's leaves with the patterns of the version's background rows."""
+    background = spark.read.parquet(f"{path}/background").orderBy("bg_k").select(*C.FEATURES).collect()
+    z = np.array([[float("nan") if v is None else v for v in r] for r in background], float).reshape(-1, len(C.FEATURES))
+    nodes = tree_paths.forest_nodes(spark.read.parquet(f"{path}/forest/data"))
+    tree_paths.with_background(tree_paths.leaf_paths(nodes), z).write.mode("overwrite").parquet(f"{path}/patterns")
 
 
 def load_version(spark: SparkSession, model_root: str, version: int,
@@ -170,7 +180,7 @@ def load_version(spark: SparkSession, model_root: str, version: int,
         test_scored = soft_vote(model.member_probabilities(rows.where(F.col("is_test"))),
                                 ["p_rf", "p_gbt"])
     return TrainResult(model, scaler, codes, version, path, meta.asDict() if meta else {},
-                       test_scored, spark.read.parquet(f"{path}/background"))
+                       test_scored, spark.read.parquet(f"{path}/patterns"))
 
 
 def load_active(spark: SparkSession, model_root: str) -> TrainResult | None:
@@ -183,4 +193,4 @@ def load_active(spark: SparkSession, model_root: str) -> TrainResult | None:
     return TrainResult(EnsembleModel.load(path),
                        ScalerModel.from_df(spark.read.parquet(f"{path}/scaler")),
                        spark.read.parquet(f"{path}/region_codes"), v, path, {}, None,
-                       spark.read.parquet(f"{path}/background"))
+                       spark.read.parquet(f"{path}/patterns"))

@@ -3,12 +3,13 @@ the registered queries use the full 200 trees / 100 rounds)."""
 
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from risklens import constants as C
-from risklens.operators import attribution
+from risklens.operators import attribution, tree_paths
 from risklens.operators.ensemble import EnsembleParams
 from risklens.operators.registry import Registry
 from risklens.plans import training
@@ -60,7 +61,10 @@ def test_attribution_is_additive(spark, art, upload):
     feats = feats.cache()
     scored = a.model.predict(feats)
     bg = attribution.background_sample(feats, 3)
-    vals = attribution.shapley_values(scored, "row_id", "prediction", a.model.forest, bg)
+    z = np.array([list(r) for r in bg.orderBy("bg_k").select(*C.FEATURES).collect()], float)
+    nodes = tree_paths.forest_nodes(spark.read.parquet(f"{a.path}/forest/data"))
+    patterns = tree_paths.with_background(tree_paths.leaf_paths(nodes), z)
+    vals = tree_paths.shapley_values(scored, "row_id", "prediction", C.FEATURES, patterns)
     total = {r.row_id: r.s for r in vals.groupBy("row_id").agg(F.sum("value").alias("s")).collect()}
 
     def forest_prob(df, cls_col):
