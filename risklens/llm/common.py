@@ -31,6 +31,11 @@ def bounded_batches(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
 
 
+def fresh(name: str) -> str:
+    """A column name that no input has."""
+    return f"_{name}_{uuid.uuid4().hex}"
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     """A fresh folder in the shared checkpoint folder."""
     return shared_path(spark, f"llm-{tag}-{uuid.uuid4().hex}")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risklens.llm.common import bounded_batches, stored
+from risklens.llm.common import bounded_batches, fresh, stored
 
 #: Mean number of digests in a shard; bounds the memory of a lookup group.
 SHARD_DIGESTS = 8192
@@ -186,10 +186,13 @@ FROM documents
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of equal texts the row with the largest id stays."""
+    """Pipeline stage: of equal texts the row with the largest id stays (of several
+    rows with that id any one, of null ids one). Null counts as empty. All columns
+    come back, whatever their names; an empty table stays empty."""
     history, arrivals = split_history(docs)
+    own = fresh("key")
     key = lambda digest: F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), digest), 256)
-    kept = exact_dedup(spark, history, arrivals).where("kept").select(key(F.lower(F.hex("digest"))).alias("_key"))
-    keyed = docs.withColumn("_key", key(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
+    kept = exact_dedup(spark, history, arrivals).where("kept").select(key(F.lower(F.hex("digest"))).alias(own))
+    keyed = docs.withColumn(own, key(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
     # rows equal in text and id: one of them, whatever their other columns
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    return keyed.join(kept, own, "left_semi").dropDuplicates([own]).select(docs.columns)

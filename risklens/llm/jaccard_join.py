@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from risklens.llm.classes import star_pairs
-from risklens.llm.common import batch_rows, bounded_batches, stored
+from risklens.llm.common import batch_rows, bounded_batches, fresh, stored
 from risklens.llm.components import components
 from risklens.llm.metric_join import SMALL, connect
 from risklens.llm.shingles import mix, overlap, set_id, shingle_set
@@ -130,15 +130,16 @@ class Signer:
 
 
 def document_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, id, n_shingles): the set's name (null if empty) and size."""
-    schema = pa.schema([("doc_id", pa.int64()), ("id", pa.int64()), ("n_shingles", pa.int64())])
+    """(doc_id, own, id, n_shingles) of docs (doc_id, text, own): the set's name (null if
+    empty) and size."""
+    schema = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("id", pa.int64()), ("n_shingles", pa.int64())])
 
     def run(batches) -> Iterator[dict]:
         for b in batches:
             sets = [shingle_set(t, size) for t in b.column(1).to_pylist()]
-            yield {"doc_id": b.column(0), "id": [set_id(s) if len(s) else None for s in sets], "n_shingles": [len(s) for s in sets]}
+            yield {"doc_id": b.column(0), "own": b.column(2), "id": [set_id(s) if len(s) else None for s in sets], "n_shingles": [len(s) for s in sets]}
 
-    return docs.mapInArrow(batch_rows(run, schema), "doc_id long, id long, n_shingles long")
+    return docs.mapInArrow(batch_rows(run, schema), "doc_id long, own long, id long, n_shingles long")
 
 
 def cells(shingles: np.ndarray) -> np.ndarray:
@@ -236,10 +237,12 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, size: int, percent: int
     """(doc_id, id, comp, n_shingles, component_id) of every row of ``docs``: with the
     names of its set and of its group (null where the set is empty)."""
     bounded_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("own", F.xxhash64("text"))
     sets = stored(spark, document_sets(docs, size), "sets")
     stars = stored(spark, star_pairs_of_sets(spark, docs, size, percent), "stars")
-    named = sets.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "own")).alias("first")
+    named = sets.where("id is not null").groupBy("id").agg(first).select("id", "first.doc_id", "first.own")
     ends = stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id"))).distinct()
     wanted = named.join(ends, "id")
     items = set_items(spark, docs, wanted, size)
@@ -253,10 +256,10 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, size: int, percent: int
 
 
 def set_items(spark: SparkSession, docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(id, payload, size) of the sets named by ``wanted`` (doc_id, id), read anew
-    from one document of each; size is the logarithm of the set's size. Where a
-    doc_id repeats or is null, the set's name, computed again, must be the wanted
-    one; one row per set stays."""
+    """(id, payload, size) of the sets named by ``wanted`` (id, doc_id, own), read anew
+    from one document of each, by its id and the hash of its text (so repeated and
+    null ids meet no other texts); size is the logarithm of the set's size. The set's
+    name, computed again, must be the wanted one; one row per set stays."""
     schema = pa.schema([("id", pa.int64()), ("payload", pa.binary()), ("size", pa.float64())])
 
     def run(batches) -> Iterator[dict]:
@@ -268,7 +271,8 @@ def set_items(spark: SparkSession, docs: DataFrame, wanted: DataFrame, size: int
                     kept.append((i, s))
             yield {"id": [i for i, _ in kept], "payload": [s.tobytes() for _, s in kept], "size": [float(np.log(len(s))) for _, s in kept]}
 
-    texts = docs.join(wanted.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc"))).select("id", "text")
+    place = wanted.select("id", F.col("doc_id").alias("_doc"), F.col("own").alias("_own"))
+    texts = docs.join(place, (F.col("own") == F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("id", "text")
     rows = texts.mapInArrow(batch_rows(run, schema), "id long, payload binary, size double")
     return stored(spark, rows.dropDuplicates(["id"]), "items")
 
@@ -279,23 +283,26 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of linked documents (NEAR_WORDS, NEAR_PERCENT) one row
-    stays, that of least id (null ids last, then by the set's name); empty ones all stay."""
+    stays, that of least id (null ids last, then by the set's name); empty ones all stay. Of
+    rows equal in id and set any one stays. All columns come back, whatever their names;
+    an empty table stays empty."""
     groups = stored(spark, jaccard_groups(spark, docs, NEAR_WORDS, NEAR_PERCENT).select("doc_id", "id", "comp"), "groups")
+    mark, _id, _name = fresh("set"), fresh("id"), fresh("name")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "id")
-    first = groups.where("id is not null").groupBy("comp").agg(F.min(rank).alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.id").alias("_name"))
-    held = groups.where("id is not null").groupBy(F.col("doc_id").alias("_id"), F.col("id").alias("_name")).count().where("count > 1")
-    empty = groups.where("id is null").select(F.col("doc_id").alias("_id"), F.col("id").alias("_name")).distinct()
+    first = groups.where("id is not null").groupBy("comp").agg(F.min(rank).alias("first")).select(F.col("first.doc_id").alias(_id), F.col("first.id").alias(_name))
+    held = groups.where("id is not null").groupBy(F.col("doc_id").alias(_id), F.col("id").alias(_name)).count().where("count > 1")
+    empty = groups.where("id is null").select(F.col("doc_id").alias(_id), F.col("id").alias(_name)).distinct()
     kept = first.unionByName(empty)
-    schema = StructType([*docs.schema.fields, StructField("_set", LongType())])
+    schema = StructType([*docs.schema.fields, StructField(mark, LongType())])
     at = docs.columns.index("text")
 
     def name(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t, NEAR_WORDS) for t in b.column(at).to_pylist()]
-            yield b.append_column("_set", pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()))
+            yield b.append_column(mark, pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()))
 
     rows = docs.mapInArrow(name, schema)
-    rows = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept["_id"]) & rows["_set"].eqNullSafe(kept["_name"]), "left_semi")
+    rows = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept[_id]) & rows[mark].eqNullSafe(kept[_name]), "left_semi")
     if not held.isEmpty():  # rows equal in id and set: one of them, whatever else they hold
-        rows = rows.where("_set is null").unionByName(rows.where("_set is not null").dropDuplicates(["doc_id", "_set"]))
-    return rows.drop("_set")
+        rows = rows.where(F.col(mark).isNull()).unionByName(rows.where(F.col(mark).isNotNull()).dropDuplicates(["doc_id", mark]))
+    return rows.select(docs.columns)
