@@ -5,11 +5,12 @@ week; the first ``max(1, floor(n * fraction))`` rows form the baseline.
 z = (current - mean) / std (population std, 1.0 when flat); drift when
 |z| > threshold (strict). Fewer than ``min_history`` rows: no drift, z 0.
 
-Plan: one hash exchange on ``student_id`` feeds the window (row number and
-count) and the final aggregate, which reuses the same partitioning. The log
-holds one row per (student, period) - producers pre-aggregate raw activity
-with map-side partial aggregation - so one window partition holds one
-student's periods, not their raw events.
+Plan: a student's series is cut into pieces of ``PIECE_WEEKS`` weeks. A window
+numbers the rows of a (student, piece) and sums them up; the pieces' totals,
+one row each, carry what came before into every piece. So no task needs the
+whole series of a student who owns a third of the log, and the window and the
+totals share one exchange. Baselines are plain aggregates of the rows up to
+the baseline's end, combined before the shuffle.
 """
 
 from __future__ import annotations
@@ -28,16 +29,38 @@ def _order(log: DataFrame) -> list[str]:
     return [c for c in ORDER_COLUMNS if c in log.columns]
 
 
+#: Weeks of a piece of a student's series.
+PIECE_WEEKS = 16
+
+
+def positions(log: DataFrame, *columns: str) -> DataFrame:
+    """(student_id, *columns, clicks double, rn, n, s, q): the place of each row in its
+    student's series, the length of the series, and the sums of clicks and of their
+    squares up to the row. Rows without a week come first, as in any order."""
+    rows = log.withColumns({"clicks": F.col("clicks").cast("double"),
+                            "piece": F.coalesce(F.floor(F.col("week_number") / PIECE_WEEKS), F.lit(-(1 << 62)))})
+    inside = Window.partitionBy("student_id", "piece").orderBy(*_order(log))
+    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = F.col("clicks")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    own = rows.select("student_id", "piece", *columns, x, F.row_number().over(inside).alias("rn"),
+                      zero(F.sum(x).over(running)).alias("s"), zero(F.sum(x * x).over(running)).alias("q"))
+    totals = rows.groupBy("student_id", "piece").agg(F.count(F.lit(1)).alias("n"), zero(F.sum(x)).alias("s"), zero(F.sum(x * x)).alias("q"))
+    every = Window.partitionBy("student_id")
+    before = every.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(F.col("student_id").alias("_id"), F.col("piece").alias("_piece"), F.sum("n").over(every).alias("n"),
+                            *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("n", "s", "q")])
+    joined = own.join(carried, F.col("student_id").eqNullSafe(F.col("_id")) & (F.col("piece") == F.col("_piece")))
+    return joined.select("student_id", *columns, "clicks", (F.col("rn") + F.col("n0")).alias("rn"), "n",
+                         (F.col("s") + F.col("s0")).alias("s"), (F.col("q") + F.col("q0")).alias("q"))
+
+
 def drift_scores(log: DataFrame, threshold: float = C.Z_SCORE_THRESHOLD,
                  fraction: float = C.BASELINE_FRACTION,
                  min_history: int = C.MIN_HISTORY) -> DataFrame:
     """(student_id, history_len, baseline_n, baseline_mean, baseline_std,
     current_clicks, z_score, drift_detected, direction) - unrounded."""
-    by_student = Window.partitionBy("student_id")
-    ordered = by_student.orderBy(*_order(log))
-    rows = log.select("student_id", F.col("clicks").cast("double").alias("clicks"),
-                      F.row_number().over(ordered).alias("rn"),
-                      F.count(F.lit(1)).over(by_student).alias("n"))
+    rows = positions(log)
     base_len = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(float(fraction))))
     in_base = F.col("rn") <= base_len
     agg = rows.groupBy("student_id").agg(
@@ -119,11 +142,7 @@ def drift_summary(checks: DataFrame) -> DataFrame:
 
 def drift_baseline(log: DataFrame, fraction: float = C.BASELINE_FRACTION) -> DataFrame:
     """Baseline rows of every student: the ordered prefix and its statistics."""
-    by_student = Window.partitionBy("student_id")
-    ordered = by_student.orderBy(*_order(log))
-    rows = log.select("student_id", "week_number", F.col("clicks").cast("double").alias("clicks"),
-                      F.row_number().over(ordered).alias("rn"),
-                      F.count(F.lit(1)).over(by_student).alias("n"))
+    rows = positions(log, "week_number")
     base_len = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(float(fraction))))
     return (rows.where(F.col("rn") <= base_len)
             .groupBy("student_id")
@@ -146,14 +165,8 @@ def drift_replay(log: DataFrame, threshold: float = C.Z_SCORE_THRESHOLD,
     there is no per-row scan of earlier rows. Variance = (b*Q - S^2) / b^2,
     exact for integer clicks.
     """
-    ordered = Window.partitionBy("student_id").orderBy(*_order(log))
-    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = F.col("clicks").cast("double")
-    rows = log.select("student_id", "week_number", *(["logged_at"] if "logged_at" in log.columns else []),
-                      x.alias("clicks"),
-                      F.row_number().over(ordered).alias("p"),
-                      F.sum(x).over(running).alias("s"),
-                      F.sum(x * x).over(running).alias("q"))
+    when = ["logged_at"] if "logged_at" in log.columns else []
+    rows = positions(log, "week_number", *when).withColumnRenamed("rn", "p")
     prefix = rows.select("student_id", F.col("p").alias("b"), F.col("s").alias("sb"),
                          F.col("q").alias("qb"))
     cur = rows.withColumn("b", F.greatest(F.lit(1), F.floor(F.col("p") * F.lit(float(fraction)))))
@@ -166,7 +179,7 @@ def drift_replay(log: DataFrame, threshold: float = C.Z_SCORE_THRESHOLD,
     short = F.col("p") < min_history
     z = F.when(short, F.lit(0.0)).otherwise((F.col("clicks") - mean) / std)
     return j.select(
-        "student_id", "week_number", *(["logged_at"] if "logged_at" in log.columns else []),
+        "student_id", "week_number", *when,
         F.col("p").cast("bigint").alias("history_len"),
         F.col("clicks").cast("bigint").alias("current_clicks"),
         F.when(short, F.lit(0.0)).otherwise(mean).alias("baseline_mean"),
