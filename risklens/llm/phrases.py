@@ -21,9 +21,10 @@ fewer. A task counts in stretches of ``FLUSH`` words by sorting, so the shuffle
 row per phrase and stretch, and no phrase's or language's rows meet before they are
 added up.
 
-Words travel as 64-bit hashes, with their letters only where they are counted alone.
-A hash that stands for two words is found there, over all documents, and the run is
-repeated with another hash: the result rests on no collision.
+Words travel as 64-bit hashes. A last pass fetches the letters of the words that stand
+in frequent phrases, from all documents; should such a hash stand for two words, that
+is seen there and the run is repeated with another hash: the result rests on no
+collision. (A shared hash only ever adds to counts, so no other words matter.)
 
 Edge cases: null or empty texts hold no words; a null language is ``und``; nulls,
 ties and repeated rows in other columns don't matter, every row counts; empty tables
@@ -58,7 +59,7 @@ SLACK = 0.6
 BITS_PER_PHRASE = 16
 FILTER_BITS = 1 << 27
 #: Words that a task counts at a time, and bytes of text that it reads at a time.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 SEGMENT = 1 << 20
 
 PIECE_END = re.compile(rb"[.,;:!?\x0a-\x0d]")
@@ -68,8 +69,8 @@ _BETWEEN = _PIECE.copy()
 _BETWEEN[[0x20, 0x09]] = True
 WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
 KEY = ["lang", "k", *WORDS]
-COUNTED = "lang string, k int, " + "".join(f"{w} long, " for w in WORDS) + "n long, word string"
-_SCHEMA = pa.schema([("lang", pa.string()), ("k", pa.int32()), *[(w, pa.int64()) for w in WORDS], ("n", pa.int64()), ("word", pa.string())])
+COUNTED = "lang string, k int, " + "".join(f"{w} long, " for w in WORDS) + "n long"
+_SCHEMA = pa.schema([("lang", pa.string()), ("k", pa.int32()), *[(w, pa.int64()) for w in WORDS], ("n", pa.int64())])
 
 
 def lang_hash(lang: str) -> np.uint64:
@@ -142,6 +143,20 @@ def words_of(raw: bytes, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return h, piece, start, end
 
 
+def grouped(key: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each group, its size) of rows equal in all ``columns``, sorted by a
+    hash of them; where that hash is shared, by the columns themselves."""
+    if not len(key):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    if any((c[order[1:]] != c[order[:-1]])[same].any() for c in columns):
+        order = np.lexsort(columns)
+        same = np.logical_and.reduce([c[order[1:]] == c[order[:-1]] for c in columns])
+    starts = np.flatnonzero(np.r_[True, ~same])
+    return order[starts], np.diff(np.r_[starts, len(key)])
+
+
 class Counter:
     """Counts of phrases in the words of a task, FLUSH at a time.
 
@@ -161,33 +176,29 @@ class Counter:
         raw = raw.lower()  # of bytes: ASCII letters only
         h, piece, start, end = words_of(raw, self.seed)
         if len(h):
-            self.parts.append((lang, len(self.texts), h, piece, start, end))
+            self.parts.append((lang, h, piece.astype(np.int32), start.astype(np.int32), end.astype(np.int32)))
             self.texts.append(raw)
             self.held += len(h)
 
+    def joined(self) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(languages, number of each word's, its hash) of what is held."""
+        langs = sorted({p[0] for p in self.parts})
+        number = {lang: k for k, lang in enumerate(langs)}
+        lang = np.repeat(np.array([number[p[0]] for p in self.parts], np.int32), [len(p[1]) for p in self.parts])
+        return langs, lang, np.concatenate([p[1] for p in self.parts])
+
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.held:
             return
-        langs = sorted({p[0] for p in self.parts})
-        number = {lang: k for k, lang in enumerate(langs)}
-        h = np.concatenate([p[2] for p in self.parts])
-        size = [len(p[2]) for p in self.parts]
-        lang = np.repeat([number[p[0]] for p in self.parts], size)
-        text = np.repeat(np.arange(len(self.parts)), size)
-        piece = np.concatenate([p[3] for p in self.parts])
-        start, end = (np.concatenate([p[k] for p in self.parts]) for k in (4, 5))
-        # (language, word) as dense numbers; equal hashes of different words meet below
-        named = mix(h + lang.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-        _, at, own, n = np.unique(named, return_index=True, return_inverse=True, return_counts=True)
-        out = np.array([lang_hash(x) for x in langs], np.uint64)[lang]
-        if 1 in self.levels:
-            letters = [self.texts[t][a:b].decode("utf-8") for t, a, b in zip(text[at].tolist(), start[at].tolist(), end[at].tolist())]
-            yield from self.rows(langs, lang, 1, [h[at]], at, n, letters)
-            total = np.bincount(lang)
-            yield from self.rows(langs, np.arange(len(langs)), 0, [], np.arange(len(langs)), total, None)
-        joined = np.concatenate([(text[1:] == text[:-1]) & (piece[1:] == piece[:-1]), [False]])
+        langs, lang, h = self.joined()
+        # does the next word stand in the same piece?
+        follows = np.concatenate([np.r_[p[2][1:] == p[2][:-1], False] for p in self.parts])
         first = np.arange(len(h))
-        codes, hashes = own, phrase_hash(out, h)
+        hashes = phrase_hash(np.array([lang_hash(x) for x in langs], np.uint64)[lang], h)
+        if 1 in self.levels:
+            at, n = grouped(hashes, [lang, h])
+            yield from self.rows(langs, lang, 1, [h[at]], at, n)
+            yield from self.rows(langs, np.arange(len(langs)), 0, [], np.arange(len(langs)), np.bincount(lang))
         # for each filter: whether it holds the parts of a phrase, and so all within it;
         # a phrase that a filter holds by accident alone was out of its pass's reach
         parts = [np.ones(len(h), bool) for _ in self.filters]
@@ -196,56 +207,107 @@ class Counter:
             inside = [held & f.holds(hashes) for held, f in zip(parts, self.filters)]
             last = np.searchsorted(first, first + 1)
             last[last == len(first)] = 0
-            fits = (first[last] == first + 1) & joined[np.minimum(first + k - 2, len(h) - 1)]  # both parts are here, in one piece
+            fits = (first[last] == first + 1) & follows[np.minimum(first + k - 2, len(h) - 1)]  # both parts are here, in one piece
             parts = [fits & f & f[last] for f in inside]
+            go = np.flatnonzero(np.logical_or.reduce(parts))
+            if not len(go):
+                break
+            parts, first, hashes = [f[go] for f in parts], first[go], phrase_hash(hashes[go], h[first[go] + k - 1])
             if k in self.levels:
                 take = parts[-1].copy()
                 for f in parts[:-1]:
                     take &= ~f
-                i = np.flatnonzero(take)
-                pair = codes[i] * (len(n) + 1) + own[first[i] + k - 1]
-                _, at, m = np.unique(pair, return_index=True, return_counts=True)
-                where = first[i][at]
-                yield from self.rows(langs, lang, k, [h[where + t] for t in range(k)], where, m, None)
-            if k < max(self.levels):
-                go = np.flatnonzero(np.logical_or.reduce(parts))
-                if not len(go):
-                    break
-                _, codes = np.unique(codes[go] * (len(n) + 1) + own[first[go] + k - 1], return_inverse=True)
-                hashes = phrase_hash(hashes[go], h[first[go] + k - 1])
-                parts, first = [f[go] for f in parts], first[go]
+                own = first[take]
+                at, n = grouped(hashes[take], [lang[own], *[h[own + t] for t in range(k)]])
+                at = own[at]
+                yield from self.rows(langs, lang, k, [h[at + t] for t in range(k)], at, n)
         self.clear()
 
     @staticmethod
-    def rows(langs, lang, k, words, where, n, letters) -> Iterator[pa.RecordBatch]:
+    def rows(langs, lang, k, words, where, n) -> Iterator[pa.RecordBatch]:
         names = pa.array(langs, pa.string())
         zero = np.zeros(len(where), np.int64)
         columns = [pa.DictionaryArray.from_arrays(pa.array(lang[where].astype(np.int32)), names).cast(pa.string()),
                    pa.array(np.full(len(where), k, np.int32)),
-                   *[pa.array(words[t].view(np.int64) if t < len(words) else zero) for t in range(LONGEST)],
-                   pa.array(n.astype(np.int64)), pa.array(letters, pa.string()) if letters is not None else pa.nulls(len(where), pa.string())]
+                   *[pa.array(words[t].view(np.int64) if t < len(words) else zero) for t in range(LONGEST)], pa.array(n.astype(np.int64))]
         batch = pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
         for at in range(0, len(where), 100_000):
             yield batch.slice(at, 100_000)
 
+    def letters(self, wanted: Filter) -> Iterator[pa.RecordBatch]:
+        """(lang, w1, word) of the words held that ``wanted`` holds."""
+        if not self.held:
+            return
+        langs, lang, h = self.joined()
+        base = np.repeat(np.cumsum([0, *map(len, self.texts[:-1])]), [len(p[1]) for p in self.parts])
+        start, end = (np.concatenate([p[k] for p in self.parts]) + base for k in (3, 4))
+        raw = b"".join(self.texts)
+        letter = np.frombuffer(raw, np.uint8)
+        key = phrase_hash(np.array([lang_hash(x) for x in langs], np.uint64)[lang], h)
+        own = np.flatnonzero(wanted.holds(key))
+        own = own[np.argsort(key[own], kind="stable")]
+        # each word is held against the first of its hash, letter by letter
+        lead = np.r_[True, key[own[1:]] != key[own[:-1]]][:len(own)]
+        to = own[np.maximum.accumulate(np.where(lead, np.arange(len(own)), 0))] if len(own) else own
+        size = (end - start)[own]
+        odd = lead | (size != (end - start)[to])
+        left = np.flatnonzero(~odd)
+        for t in range(int(size.max(initial=0))):
+            left = left[size[left] > t]
+            differs = letter[start[own[left]] + t] != letter[start[to[left]] + t]
+            odd[left[differs]] = True
+        found = {(langs[lang[i]], int(h[i].view(np.int64)), raw[start[i]:end[i]]) for i in own[odd].tolist()}
+        rows = sorted(found)
+        for k in range(0, len(rows), 100_000):
+            part = rows[k:k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.string()), pa.array([r[1] for r in part], pa.int64()),
+                                              pa.array([r[2].decode("utf-8") for r in part], pa.string())], names=["lang", "w1", "word"])
+        self.clear()
+
+
+def held_words(batches, own: Counter) -> Iterator[None]:
+    """Fill ``own`` with the texts of batches (lang, text), by language and segment;
+    a step each time that it holds FLUSH words, and at the end."""
+    for b in batches:
+        by: dict[str, list] = {}
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            by.setdefault(lang, []).append(text)
+        for lang, texts in by.items():
+            for part in segments(texts):
+                own.add(lang, b"\n".join(part))  # ends a piece
+                if own.held >= FLUSH:
+                    yield
+    yield
+
 
 def count_pass(texts: DataFrame, levels: tuple[int, ...], filters: list, seed: int, least: int) -> DataFrame:
-    """(lang, k, w1.., n, word, other) of the phrases of ``texts`` (lang, text) that
-    this pass counts and that occur ``least`` times; k is 0 for all words of a language.
-    ``other`` differs from ``word`` where two words share a hash."""
+    """(lang, k, w1.., n) of the phrases of ``texts`` (lang, text) that this pass counts
+    and that occur ``least`` times; k is 0 for all words of a language."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         own = Counter(levels, [f.value for f in filters], seed)
-        for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for raw in segments([text]):
-                    for part in raw:
-                        own.add(lang, part)
-                if own.held >= FLUSH:
-                    yield from own.flush()
-        yield from own.flush()
+        for _ in held_words(batches, own):
+            yield from own.flush()
 
-    rows = texts.mapInArrow(run, COUNTED).groupBy(*KEY).agg(F.sum("n").alias("n"), F.min("word").alias("word"), F.max("word").alias("other"))
-    return rows.where((F.col("n") >= least) | (F.col("k") == 0) | (F.col("word") != F.col("other")))
+    rows = texts.mapInArrow(run, COUNTED).groupBy(*KEY).agg(F.sum("n").alias("n"))
+    return rows.where((F.col("n") >= least) | (F.col("k") == 0))
+
+
+def letters_pass(spark: SparkSession, texts: DataFrame, phrases: DataFrame, seed: int, filter_bits: int) -> DataFrame:
+    """(lang, w1, word) of all words of ``phrases``. Raises where two words share a hash."""
+    words = phrases.select("lang", F.explode(F.slice(F.array(*WORDS), F.lit(1), F.col("k"))).alias("w1")).distinct()
+    words = stored(spark, words.select("lang", F.lit(1).alias("k"), "w1", *[F.lit(0).cast("long").alias(w) for w in WORDS[1:]]), "words")
+    wanted = filter_of(spark, words, _bits(words.count(), filter_bits))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        own = Counter((), [], seed)
+        for _ in held_words(batches, own):
+            yield from own.letters(wanted.value)
+
+    found = texts.mapInArrow(run, "lang string, w1 long, word string").join(words.select("lang", "w1"), ["lang", "w1"], "left_semi")
+    found = stored(spark, found.groupBy("lang", "w1").agg(F.min("word").alias("word"), F.max("word").alias("other")), "letters")
+    if not found.where("word <> other").isEmpty():
+        raise HashClash
+    return found.drop("other")
 
 
 def filter_of(spark: SparkSession, phrases: DataFrame, bits: int):
@@ -280,9 +342,12 @@ class HashClash(Exception):
     pass
 
 
-def frequent_phrases(spark: SparkSession, docs: DataFrame, least: int = MIN_COUNT, sample: int = SAMPLE, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """(lang, k, w1.., n, word): all phrases of up to LONGEST words that occur ``least``
-    times, exactly counted; rows with k = 0 hold the words of each language."""
+def frequent_phrases(spark: SparkSession, docs: DataFrame, least: int = MIN_COUNT, sample: int = SAMPLE,
+                     filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """All phrases of up to LONGEST words that occur ``least`` times, exactly counted,
+    as (lang, k, w1.., n), where k = 0 is all words of a language; and the letters of the
+    words of phrases of two and more, as (lang, w1, word)."""
+    bounded_batches(spark)
     for seed in range(8):
         try:
             return _mine(spark, docs, least, sample, filter_bits, seed)
@@ -291,11 +356,10 @@ def frequent_phrases(spark: SparkSession, docs: DataFrame, least: int = MIN_COUN
     raise RuntimeError("words share hashes under every seed")
 
 
-def _mine(spark: SparkSession, docs: DataFrame, least: int, sample: int, filter_bits: int, seed: int) -> DataFrame:
-    bounded_batches(spark)
-    texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string"))
-    own = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(sample)) == 0)
-    some = own.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string"))
+def _mine(spark: SparkSession, docs: DataFrame, least: int, sample: int, filter_bits: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    columns = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")
+    texts = docs.select(*columns)
+    some = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(sample)) == 0).select(*columns)
     lowered = max(2, int(SLACK * least / sample))
     proposal, known = None, []
     for k in range(1, LONGEST):
@@ -303,15 +367,12 @@ def _mine(spark: SparkSession, docs: DataFrame, least: int, sample: int, filter_
         proposal = level if proposal is None else proposal.unionByName(level)
         known = [filter_of(spark, proposal, _bits(proposal.count(), filter_bits))]
     counted = stored(spark, count_pass(texts, tuple(range(1, LONGEST + 1)), known, seed, least), "counted")
-    if not counted.where(F.col("word") != F.col("other")).isEmpty():
-        raise HashClash
-    counted = counted.drop("other")
     failed = counted.where(f"k between 1 and {LONGEST - 1}").join(proposal, KEY, "left_anti")
     while not failed.isEmpty():
         known = [*known, filter_of(spark, counted, _bits(counted.count(), filter_bits))]
-        more = stored(spark, count_pass(texts, tuple(range(2, LONGEST + 1)), known, seed, least).drop("other"), "counted")
+        more = stored(spark, count_pass(texts, tuple(range(2, LONGEST + 1)), known, seed, least), "counted")
         counted, failed = counted.unionByName(more), more.where(f"k < {LONGEST}")
-    return counted
+    return counted, letters_pass(spark, texts, counted.where("k >= 2"), seed, filter_bits)
 
 
 def collocations(spark: SparkSession, docs: DataFrame, least: int = MIN_COUNT, top: int = TOP, sample: int = SAMPLE,
@@ -319,9 +380,9 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = MIN_COUNT, t
     """(lang, rank, phrase, a, l, r, n, score): of the phrases of 2 words or more that
     aren't a part of a longer one with nearly as many occurrences, each language's
     ``top`` by score (of their weakest cut), then a, then phrase."""
-    found = frequent_phrases(spark, docs, least, sample, filter_bits)
+    found, letters = frequent_phrases(spark, docs, least, sample, filter_bits)
     parts = found.where(f"k between 1 and {LONGEST - 1}")
-    many = found.where("k >= 2").drop("word")
+    many = found.where("k >= 2")
     words = F.array(*WORDS)
 
     def part(column: str, at: str, size: str) -> list:
@@ -348,9 +409,8 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = MIN_COUNT, t
     inside = inside.groupBy(*KEY).agg(F.max("longer").alias("longer"))
     kept = weakest.join(inside, KEY, "left").where(
         f"longer is null or cast(longer as decimal(28, 0)) * 100 < cast(n as decimal(28, 0)) * {INSIDE_PERCENT}").drop("longer")
-    letters = found.where("k = 1").select("lang", F.col("w1").alias("_w"), "word")
     for t, w in enumerate(WORDS):
-        own = letters.select(F.col("lang").alias("_lang"), "_w", F.col("word").alias(f"t{t}"))
+        own = letters.select(F.col("lang").alias("_lang"), F.col("w1").alias("_w"), F.col("word").alias(f"t{t}"))
         kept = kept.join(own, (F.col("lang") == F.col("_lang")) & (F.col(w) == F.col("_w")) & (F.col("k") > t), "left").drop("_lang", "_w")
     kept = kept.select("lang", F.concat_ws(" ", *[f"t{t}" for t in range(LONGEST)]).alias("phrase"), F.col("n").alias("a"),
                        F.col("weakest.l").alias("l"), F.col("weakest.r").alias("r"), F.col("weakest.score").alias("score"))

@@ -97,3 +97,27 @@ def test_products_beyond_64_bits(spark):
     """A score's arithmetic on counts of 10**13 and more."""
     got = spark.range(1).selectExpr("cast((cast(30000000000000 as decimal(28, 0)) * 2000000BD) div (cast(30000000000001 as decimal(28, 0)) + 40000000000000) as bigint) s").first().s
     assert got == 2000000 * 30000000000000 // 70000000000001
+
+
+def test_words_that_share_a_hash_are_seen(monkeypatch):
+    """With a hash of the first letter only, every word with its letters comes back."""
+    def first_letter(raw, seed):
+        words = [m.span() for m in re.finditer(rb"[^\x20\x09.,;:!?\x0a-\x0d]+", raw)]
+        a, b = np.array([w[0] for w in words]), np.array([w[1] for w in words])
+        return np.array([raw[x] for x in a], np.uint64), np.zeros(len(a), int), a, b
+
+    monkeypatch.setattr(phrases, "words_of", first_letter)
+    own = phrases.Counter((), [], 0)
+    own.add("en", b"apple ant apple bee ant apply")
+    own.add("de", b"apple b")
+    every = phrases.Filter(1 << 10, np.full(16, (1 << 64) - 1, np.uint64))
+    got = {(r["lang"], r["word"]) for b in own.letters(every) for r in b.to_pylist()}
+    assert got == {("en", w) for w in ("apple", "ant", "bee", "apply")} | {("de", "apple"), ("de", "b")}
+
+
+def test_groups_under_a_shared_hash():
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 5, 300), rng.integers(0, 5, 300)
+    for key in (x * 8 + y, x, np.zeros(300, int)):
+        at, n = phrases.grouped(key.astype(np.uint64), [x, y])
+        assert {(x[i], y[i]): m for i, m in zip(at, n)} == {k: int(((x == k[0]) & (y == k[1])).sum()) for k in set(zip(x, y))}
