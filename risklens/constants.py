@@ -15,8 +15,6 @@ BASELINE_FRACTION = 0.20
 MIN_HISTORY = 3
 FLAT_STD_EPSILON = 1e-6
 
-# Risk classes, in the order of the configuration (best to worst)
-RISK_CLASSES = ["Excelling", "On Track", "Moderate Risk", "High Risk"]
 # Label index used by the models: alphabetical class order
 LABEL_ORDER = ["Excelling", "High Risk", "Moderate Risk", "On Track"]
 # Trajectory value of each class
@@ -151,7 +149,6 @@ DRIFT_BANNER = ("⚠️ **Engagement drop detected.** Our system noticed a signi
 ALERT_TEACHER_SUBJECT = "Alert: {name} needs attention"
 ALERT_STUDENT_SUBJECT = "Your learning activity this week"
 ALERT_NO_FACTORS = "  No specific factors identified.\n"
-ALERT_DEFAULT_TIP = "Keep engaging with your course materials!"
 
 # ───────────────────────── end of FIXED VALUES ─────────────────────────
 

@@ -7,7 +7,6 @@ the newest activation - rolling back appends a row, nothing is copied.
 
 from __future__ import annotations
 
-import json
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -103,7 +102,3 @@ class Registry:
         if prev is not None:
             self.append(prev, "rolled_back")
         return prev
-
-    @staticmethod
-    def metadata_json(meta: dict) -> str:
-        return json.dumps(meta, default=str, indent=2)
