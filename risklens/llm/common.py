@@ -17,6 +17,8 @@ from risklens.session import shared_path
 #: default 10,000 rows could outgrow a Python worker.
 BATCH_ROWS = 1024
 BATCH_BYTES = 16 << 20
+#: Spark's setting that removes a query's shuffle files at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -43,9 +45,14 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 def stored(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, and
-    every executor can read it after another one is lost."""
-    path = new_path(spark, tag)
-    df.write.parquet(path)
+    every executor can read it after another one is lost. The shuffle files of the
+    write go with its end, for nothing reads them again."""
+    path, before = new_path(spark, tag), spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

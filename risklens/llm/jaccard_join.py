@@ -66,6 +66,8 @@ FULL = ((12, 3.0, 2, 0.16), (12, 0.0, 1, 0.5), (1, 0.0, 1, 0.05))
 CELLS = 1 << 16
 COMMON = 16
 PATIENCE = 2
+#: Rounds of drawn pivots in the finest regions.
+TURNS = 2
 #: Bytes of signatures for a byte of stored input, seen on prose; sizes partitions only.
 SIGNATURE_RATIO = 2.0
 
@@ -193,7 +195,7 @@ def rare_regions(spark: SparkSession, items: DataFrame, ids: DataFrame, percent:
     shingles from this one on. Shingles that one item holds come first in the
     order and lead nowhere, so they count but aren't written.
     """
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("region", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("region", pa.int64())])
 
     def run(batches) -> Iterator[dict]:
         for b in batches:
@@ -201,16 +203,17 @@ def rare_regions(spark: SparkSession, items: DataFrame, ids: DataFrame, percent:
                 s = np.frombuffer(raw, np.int64)
                 for k in range(0, len(s), 100_000):
                     part = s[k:k + 100_000]
-                    yield {"id": np.full(len(part), i), "n": np.full(len(part), len(s)), "region": part}
+                    yield {"id": np.full(len(part), i), "region": part}
 
-    rows = items.join(ids, "id").select("id", "payload").mapInArrow(batch_rows(run, schema), "id long, n long, region long")
+    rows = items.join(ids, "id").select("id", "payload").mapInArrow(batch_rows(run, schema), "id long, region long")
     held = rows.groupBy("region").agg(F.count("*").alias("held")).where("held > 1")
     mine = Window.partitionBy("id")
     ranked = rows.join(held, "region").withColumns({
         "rank": F.row_number().over(mine.orderBy("held", "region")), "shared": F.count("*").over(mine)})
-    rest = F.col("shared") - F.col("rank") + 1
+    sizes = items.select("id", (F.length("payload") / 8).cast("long").alias("n"))
+    few = ranked.withColumn("rest", F.col("shared") - F.col("rank") + 1).select("region", "id", "rest")
     needed = F.floor((F.col("n") * percent + 99) / 100)  # of the smallest partner that can link
-    return ranked.withColumn("rest", rest).where(F.col("rest") >= needed).select("region", "id", "rest", "n")
+    return few.join(sizes, "id").where(F.col("rest") >= needed).select("region", "id", "rest", "n")
 
 
 def overlap_possible(percent: int):
@@ -219,6 +222,14 @@ def overlap_possible(percent: int):
     return F.least("x_rest", "y_rest") >= needed
 
 
+def overlap_possible_in(percent: int):
+    """The same for arrays: row k with all."""
+    def may_meet(columns: dict, k: int) -> np.ndarray:
+        n, rest = columns["n"], columns["rest"]
+        return np.minimum(rest, rest[k]) >= np.ceil((n + n[k]) * percent / (100 + percent) - 1e-6)
+    return may_meet
+
+
 def jaccard_distance(percent: int):
     def distance(x: bytes, y: bytes) -> tuple[bool, float]:
         a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -247,7 +258,8 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, size: int, percent: int
     wanted = named.join(ends, "id")
     items = set_items(spark, docs, wanted, size)
     links = connect(spark, stars, items, jaccard_distance(percent), (100 - percent) / 100, float(np.log(100 / percent)),
-                    lambda ids: rare_regions(spark, items, ids, percent), lambda: overlap_possible(percent), small)
+                    lambda ids: rare_regions(spark, items, ids, percent), lambda: overlap_possible(percent), small,
+                    turns=TURNS, may_meet=overlap_possible_in(percent))
     comp = components(spark, links)
     groups = named.join(comp, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "doc_id")
     least = groups.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
