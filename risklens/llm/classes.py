@@ -18,13 +18,13 @@ from risklens.llm.shingles import mix
 FLUSH = 1 << 20
 
 
-def star_pairs(spark: SparkSession, docs: DataFrame, signer: Callable, ratio: float) -> DataFrame:
+def star_pairs(spark: SparkSession, docs: DataFrame, signer: Callable, ratio: float, flush: int = FLUSH) -> DataFrame:
     """(a, b): an item shares a signature with the pivot a, the least id that has it
     (or the least of its task, which in turn shares it with the least of all).
 
     ``signer()`` makes, once a task, a function from a text to its items' (id,
     function that gives the item's signatures). ``ratio``: bytes of signatures
-    for a byte of input, to size partitions.
+    for a byte of input, to size partitions. ``flush``: signatures that a task holds before it writes them.
     """
     parts = partitions_for(spark, ratio * input_bytes(docs))
     buckets = 4 * parts
@@ -72,7 +72,7 @@ def star_pairs(spark: SparkSession, docs: DataFrame, signer: Callable, ratio: fl
                     sigs.append(signatures())
                     ids.append(name)
                     held += len(sigs[-1])
-                    if held >= FLUSH:
+                    if held >= flush:
                         yield from packed(sigs, ids)
                         sigs, ids, held = [], [], 0
         yield from packed(sigs, ids)

@@ -19,10 +19,9 @@ The work of ``connect``:
 4. In the regions that remain, outside members are compared with members of
    other components that ``may_link`` and the windows don't rule out: ends of a
    link differ by at most ``width`` in size and by at most the radius in their
-   distance to the cell's pivot. With ``turns``, regions get drawn pivots first, which
-   are compared with the members of other components, and finished regions go. Then
-   regions of up to MOST pairs are compared by a join; in larger ones blocks of
-   members meet, and only links that join components leave them.
+   distance to the cell's pivot. With ``may_meet``, regions of up to MOST
+   pairs are compared by a join; in larger ones blocks of members meet, and only links
+   that join components leave them.
 
 No link between different components is lost, whatever the sizes; links inside
 one component aren't all listed.
@@ -46,7 +45,7 @@ SMALL = 64
 PIVOTS = 8
 LEVELS = 4
 #: Pairs (outside members x members) of a region up to which a join lists them, and
-#: members of a block in the others, after ``turns`` rounds of drawn pivots.
+#: members of a block in the others.
 MOST = 2048
 WIDE_BLOCK = 2048
 #: Members of a block, where regions are compared block by block: their pairs are
@@ -128,7 +127,7 @@ def _cut(spark: SparkSession, large: DataFrame, level: int, items: DataFrame, di
 
 def connect(spark: SparkSession, stars: DataFrame, items: DataFrame, distance: Callable, radius: float,
             width: float, refine: Callable[[DataFrame], DataFrame], may_link: Callable | None = None, small: int = SMALL,
-            direct: int | None = None, linked: Callable | None = None, turns: int = 0, may_meet: Callable | None = None) -> DataFrame:
+            direct: int | None = None, linked: Callable | None = None, may_meet: Callable | None = None) -> DataFrame:
     """Links (a, b) whose components are those of all links.
 
     ``stars`` (a, b): pivot and member. ``items`` (id, payload, size): ``size``
@@ -139,9 +138,8 @@ def connect(spark: SparkSession, stars: DataFrame, items: DataFrame, distance: C
     some region. ``linked(payload, payload)``: a cheaper test, if distances aren't needed.
     ``direct``: regions with more members outside are compared block by block
     (None: ``may_link`` leaves few pairs, so all are compared by a join, but for
-    those of more than MOST pairs after ``turns`` rounds of drawn pivots, if any).
-    ``may_meet(columns, k)``: ``may_link`` for arrays of the columns that refine added,
-    between row k and all.
+    those of more than MOST pairs, if there is ``may_meet``). ``may_meet(columns, k)``:
+    ``may_link`` for arrays of the columns that refine added, between row k and all.
     """
     linked = linked or (lambda x, y: distance(x, y)[0])
     measured = measure(spark, stars, items, distance)
@@ -172,16 +170,8 @@ def connect(spark: SparkSession, stars: DataFrame, items: DataFrame, distance: C
     near = ((F.abs(F.col("x_d") - F.col("y_d")) <= radius + SLACK) & (F.abs(F.col("x_at") - F.col("y_at")) <= width + SLACK))
     if may_link is not None:
         near = near & may_link()
-    for turn in range(turns):
-        pairs = _drawn_pairs(held, turn, near)
-        found = measure(spark, pairs, items, lambda x, y: (linked(x, y), 0.0)).where("link").select("a", "b")
-        if found.isEmpty():
-            break
-        links = links.unionByName(found)
-        comp = components(spark, links)
-        held = stored(spark, _sided(held.drop("comp", "out", "outside", "size"), comp), "final")
     pairs = F.col("outside") * F.col("size")
-    few = held if direct is None and not turns else held.where(pairs <= MOST) if turns else held.where(F.col("outside") <= direct)
+    few = held.where(pairs <= MOST) if may_meet else held if direct is None else held.where(F.col("outside") <= direct)
     x = few.where("out").select([F.col(c).alias(f"x_{c}") for c in held.columns])
     y = few.select([F.col(c).alias(f"y_{c}") for c in held.columns])
     close = near & ((F.col("x_region") == F.col("y_region")) & (F.col("x_comp") != F.col("y_comp"))
@@ -189,7 +179,7 @@ def connect(spark: SparkSession, stars: DataFrame, items: DataFrame, distance: C
     rest = x.join(y, close).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
     found = measure(spark, rest, items, lambda x, y: (linked(x, y), 0.0)).where("link").select("a", "b")
     links = links.unionByName(found)
-    if turns:
+    if may_meet:
         wide = held.where(pairs > MOST)
         return links if wide.isEmpty() else links.unionByName(stored(spark, _joining(wide, items, linked, radius, width, may_meet), "wide"))
     if direct is None:
@@ -198,17 +188,7 @@ def connect(spark: SparkSession, stars: DataFrame, items: DataFrame, distance: C
     return links.unionByName(stored(spark, wide, "wide"))
 
 
-def _drawn_pairs(held: DataFrame, turn: int, near) -> DataFrame:
-    """(a, b): each region's drawn pivot and the members of other components that may
-    link to it. The draw is by id alone, so regions of the same items draw the same one."""
-    columns = [c for c in held.columns if c != "region"]
-    draw = F.struct(F.xxhash64("id", F.lit(turn)).alias("draw"), *columns)
-    pivot = held.groupBy("region").agg(F.min(draw).alias("x")).select("region", *[F.col(f"x.{c}").alias(f"x_{c}") for c in columns])
-    both = held.select("region", *[F.col(c).alias(f"y_{c}") for c in columns]).join(pivot, "region").where((F.col("x_comp") != F.col("y_comp")) & near)
-    return both.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
-
-
-def _joining(held: DataFrame, items: DataFrame, linked: Callable, radius: float, width: float, may_meet: Callable | None) -> DataFrame:
+def _joining(held: DataFrame, items: DataFrame, linked: Callable, radius: float, width: float, may_meet: Callable) -> DataFrame:
     """(a, b): links of large regions, as few as join what they join. Every two blocks of
     a region meet in a group of their own, where members of components that are
     joined already aren't compared. Regions of the same members are one."""
@@ -228,8 +208,7 @@ def _joining(held: DataFrame, items: DataFrame, linked: Callable, radius: float,
             near = ((comp != comp[k]) & (~out | (ids > ids[k])) & (np.abs(d - d[k]) <= radius + SLACK) & (np.abs(at - at[k]) <= width + SLACK))
             if apart:
                 near &= own != own[k]  # pairs inside a block meet in that block's own group
-            if may_meet is not None:
-                near &= may_meet(columns, k)
+            near &= may_meet(columns, k)
             mine = load[k].as_py()
             for j in np.flatnonzero(near).tolist():
                 if comp[j] != comp[k] and linked(mine, load[j].as_py()):
