@@ -206,9 +206,11 @@ def rare_regions(spark: SparkSession, items: DataFrame, ids: DataFrame, percent:
                     yield {"id": np.full(len(part), i), "region": part}
 
     rows = items.join(ids, "id").select("id", "payload").mapInArrow(batch_rows(run, schema), "id long, region long")
-    held = rows.groupBy("region").agg(F.count("*").alias("held")).where("held > 1")
+    # written one after the other, so the shuffle of all shingles is on disk once at a time
+    held = stored(spark, rows.groupBy("region").agg(F.count("*").alias("held")).where("held > 1"), "held")
+    shared = stored(spark, rows.join(held, "region"), "shared")
     mine = Window.partitionBy("id")
-    ranked = rows.join(held, "region").withColumns({
+    ranked = shared.withColumns({
         "rank": F.row_number().over(mine.orderBy("held", "region")), "shared": F.count("*").over(mine)})
     sizes = items.select("id", (F.length("payload") / 8).cast("long").alias("n"))
     few = ranked.withColumn("rest", F.col("shared") - F.col("rank") + 1).select("region", "id", "rest")
