@@ -66,6 +66,8 @@ FULL = ((12, 3.0, 2, 0.16), (12, 0.0, 1, 0.5), (1, 0.0, 1, 0.05))
 CELLS = 1 << 16
 COMMON = 16
 PATIENCE = 2
+#: Parts in which the stars are measured: bounds the sets that are on disk at once.
+PORTIONS = 4
 #: Signatures that a task holds before it writes them.
 HELD = 1 << 18
 #: Bytes of signatures for a byte of stored input, seen on prose; sizes partitions only.
@@ -260,7 +262,8 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, size: int, percent: int
     wanted = named.join(ends, "id")
     items = set_items(spark, docs, wanted, size)
     links = connect(spark, stars, items, jaccard_distance(percent), (100 - percent) / 100, float(np.log(100 / percent)),
-                    lambda ids: rare_regions(spark, items, ids, percent), lambda: overlap_possible(percent), small, may_meet=overlap_possible_in(percent))
+                    lambda ids: rare_regions(spark, items, ids, percent), lambda: overlap_possible(percent), small,
+                    may_meet=overlap_possible_in(percent), portions=PORTIONS)
     comp = components(spark, links)
     groups = named.join(comp, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "doc_id")
     least = groups.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

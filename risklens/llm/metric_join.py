@@ -58,9 +58,10 @@ SLACK = 1e-9
 MEASURED = "a long, b long, link boolean, d double"
 
 
-def measure(spark: SparkSession, pairs: DataFrame, items: DataFrame, distance: Callable) -> DataFrame:
+def measure(spark: SparkSession, pairs: DataFrame, items: DataFrame, distance: Callable, portions: int = 1) -> DataFrame:
     """(a, b, link, d) of ``pairs`` (a, b): ``distance(payload, payload)`` gives
-    (link, d). Payloads meet by joins on a and b; a hot pivot's pairs are split
+    (link, d). Pairs are written in ``portions`` (by b), one after the other, so the
+    payloads of one portion at a time are on disk. Payloads meet by joins on a and b; a hot pivot's pairs are split
     by the adaptive skew join."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("link", pa.bool_()), ("d", pa.float64())])
 
@@ -69,9 +70,18 @@ def measure(spark: SparkSession, pairs: DataFrame, items: DataFrame, distance: C
             got = [distance(x, y) for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist())]
             yield {"a": t.column(0), "b": t.column(1), "link": [bool(g[0]) for g in got], "d": [float(g[1]) for g in got]}
 
-    left, right = items.select(F.col("id").alias("a"), F.col("payload").alias("pa")), items.select(F.col("id").alias("b"), F.col("payload").alias("pb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "pa", "pb")
-    return stored(spark, both.mapInArrow(batch_rows(run, schema), MEASURED), "measured")
+    out = None
+    for k in range(portions):
+        mine, right = pairs.select("a", "b"), items.select(F.col("id").alias("b"), F.col("payload").alias("pb"))
+        left = items.select(F.col("id").alias("a"), F.col("payload").alias("pa"))
+        if portions > 1:
+            own = F.pmod(F.xxhash64("b"), F.lit(portions)) == k
+            mine, right = mine.where(own), right.where(own)
+            left = left.join(mine.select("a").distinct(), "a", "left_semi")
+        both = mine.join(left, "a").join(right, "b").select("a", "b", "pa", "pb")
+        part = stored(spark, both.mapInArrow(batch_rows(run, schema), MEASURED), "measured")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _with_comp(rows: DataFrame, comp: DataFrame) -> DataFrame:
@@ -127,7 +137,7 @@ def _cut(spark: SparkSession, large: DataFrame, level: int, items: DataFrame, di
 
 def connect(spark: SparkSession, stars: DataFrame, items: DataFrame, distance: Callable, radius: float,
             width: float, refine: Callable[[DataFrame], DataFrame], may_link: Callable | None = None, small: int = SMALL,
-            direct: int | None = None, linked: Callable | None = None, may_meet: Callable | None = None) -> DataFrame:
+            direct: int | None = None, linked: Callable | None = None, may_meet: Callable | None = None, portions: int = 1) -> DataFrame:
     """Links (a, b) whose components are those of all links.
 
     ``stars`` (a, b): pivot and member. ``items`` (id, payload, size): ``size``
@@ -140,9 +150,10 @@ def connect(spark: SparkSession, stars: DataFrame, items: DataFrame, distance: C
     (None: ``may_link`` leaves few pairs, so all are compared by a join, but for
     those of more than MOST pairs, if there is ``may_meet``). ``may_meet(columns, k)``:
     ``may_link`` for arrays of the columns that refine added, between row k and all.
+    ``portions``: parts in which the stars are measured.
     """
     linked = linked or (lambda x, y: distance(x, y)[0])
-    measured = measure(spark, stars, items, distance)
+    measured = measure(spark, stars, items, distance, portions)
     links = measured.where("link").select("a", "b")
     comp = components(spark, links)
     ids = stored(spark, open_items(measured, comp), "open")
