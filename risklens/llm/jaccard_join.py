@@ -66,7 +66,7 @@ FULL = ((12, 3.0, 2, 0.16), (12, 0.0, 1, 0.5), (1, 0.0, 1, 0.05))
 CELLS = 1 << 16
 COMMON = 16
 PATIENCE = 2
-#: Parts in which the stars are measured: bounds the sets that are on disk at once.
+#: Parts in which stars are measured and shingles counted: bounds what is on disk at once.
 PORTIONS = 4
 #: Signatures that a task holds before it writes them.
 HELD = 1 << 18
@@ -199,18 +199,25 @@ def rare_regions(spark: SparkSession, items: DataFrame, ids: DataFrame, percent:
     """
     schema = pa.schema([("id", pa.int64()), ("region", pa.int64())])
 
-    def run(batches) -> Iterator[dict]:
-        for b in batches:
-            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = np.frombuffer(raw, np.int64)
-                for k in range(0, len(s), 100_000):
-                    part = s[k:k + 100_000]
-                    yield {"id": np.full(len(part), i), "region": part}
-
-    rows = items.join(ids, "id").select("id", "payload").mapInArrow(batch_rows(run, schema), "id long, region long")
-    # written one after the other, so the shuffle of all shingles is on disk once at a time
-    held = stored(spark, rows.groupBy("region").agg(F.count("*").alias("held")).where("held > 1"), "held")
-    shared = stored(spark, rows.join(held, "region"), "shared")
+    def rows_of(portion: int) -> DataFrame:
+        def run(batches) -> Iterator[dict]:
+            for b in batches:
+                for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    s = np.frombuffer(raw, np.int64)
+                    s = s[s % PORTIONS == portion]
+                    for k in range(0, len(s), 100_000):
+                        part = s[k:k + 100_000]
+                        yield {"id": np.full(len(part), i), "region": part}
+
+        return items.join(ids, "id").select("id", "payload").mapInArrow(batch_rows(run, schema), "id long, region long")
+
+    # written one after the other, so the shuffle of one portion of the shingles is on disk at a time
+    shared = None
+    for k in range(PORTIONS):
+        rows = rows_of(k)
+        held = stored(spark, rows.groupBy("region").agg(F.count("*").alias("held")).where("held > 1"), "held")
+        part = stored(spark, rows.join(held, "region"), "shared")
+        shared = part if shared is None else shared.unionByName(part)
     mine = Window.partitionBy("id")
     ranked = shared.withColumns({
         "rank": F.row_number().over(mine.orderBy("held", "region")), "shared": F.count("*").over(mine)})
