@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from risklens.llm import chat_tree, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, pieces, token_counts, url_filters, zip_warc
+from risklens.llm import chat_tree, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, metric_join, pieces, token_counts, url_filters, zip_warc
 from risklens.plans.verify import compare
 
 SF = "/root/testdata/sf0.001"
@@ -84,6 +84,16 @@ def test_jaccard_against_all_pairs(spark, size, percent):
     assert got == {d: (len(sets[d]), want[d]) for d in sets}
 
 
+def test_jaccard_in_joining_blocks(spark, monkeypatch):
+    """All regions with several components go through small blocks."""
+    monkeypatch.setattr(metric_join, "MOST", 0)
+    monkeypatch.setattr(metric_join, "WIDE_BLOCK", 16)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sets = word_sets({r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}, 4)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark, docs, 4, 85).collect()}
+    assert got == all_pairs(sets, 85)
+
+
 def test_line_dedup_against_all_pairs(spark):
     near = "this is a line of more than twenty-four characters é"
     rows = [(1, near + "\nshort\n\n" + near), (2, near.replace("line", "lime")), (3, near.replace("a line", "lines")), (4, "short"),
