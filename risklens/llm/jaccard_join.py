@@ -47,7 +47,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from risklens.llm.classes import star_pairs
 from risklens.llm.common import batch_rows, bounded_batches, fresh, stored
 from risklens.llm.components import components
-from risklens.llm.metric_join import SMALL, connect
+from risklens.llm.metric_join import WIDE_BLOCK, connect
 from risklens.llm.shingles import mix, overlap, set_id, shingle_set
 
 #: What near-duplicate stages take: words of a shingle, least similarity in percent.
@@ -250,14 +250,15 @@ def jaccard_distance(percent: int):
     return distance
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = NEAR_WORDS, percent: int = NEAR_PERCENT, small: int = SMALL) -> DataFrame:
+def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = NEAR_WORDS, percent: int = NEAR_PERCENT, small: int = WIDE_BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     return jaccard_groups(spark, docs, size, percent, small).select("doc_id", "n_shingles", "component_id")
 
 
-def jaccard_groups(spark: SparkSession, docs: DataFrame, size: int, percent: int, small: int = SMALL) -> DataFrame:
+def jaccard_groups(spark: SparkSession, docs: DataFrame, size: int, percent: int, small: int = WIDE_BLOCK) -> DataFrame:
     """(doc_id, id, comp, n_shingles, component_id) of every row of ``docs``: with the
-    names of its set and of its group (null where the set is empty)."""
+    names of its set and of its group (null where the set is empty). Regions that one
+    block holds are compared there; those with more than ``small`` members outside are cut."""
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("own", F.xxhash64("text"))
