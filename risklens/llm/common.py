@@ -47,13 +47,22 @@ def stored(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, and
     every executor can read it after another one is lost. The shuffle files of the
     write go with its end, for nothing reads them again."""
-    path, before = new_path(spark, tag), spark.conf.get(SHUFFLE_CLEANUP, "false")
+    return stored_parts(spark, [df], tag)
+
+
+def stored_parts(spark: SparkSession, parts: Iterable[DataFrame], tag: str) -> DataFrame:
+    """``stored`` for the union of tables of one schema, written one after the other
+    to one folder: the shuffle files of one part at a time are on disk, and what reads
+    the result scans one table."""
+    path, before, schema = new_path(spark, tag), spark.conf.get(SHUFFLE_CLEANUP, "false"), None
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        for df in parts:
+            df.write.mode("append").parquet(path)
+            schema = schema or df.schema
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def input_bytes(df: DataFrame) -> int:

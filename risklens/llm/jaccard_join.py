@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from risklens.llm.classes import star_pairs
-from risklens.llm.common import batch_rows, bounded_batches, fresh, stored
+from risklens.llm.common import batch_rows, bounded_batches, fresh, stored, stored_parts
 from risklens.llm.components import components
 from risklens.llm.metric_join import WIDE_BLOCK, connect
 from risklens.llm.shingles import mix, overlap, set_id, shingle_set
@@ -211,13 +211,12 @@ def rare_regions(spark: SparkSession, items: DataFrame, ids: DataFrame, percent:
 
         return items.join(ids, "id").select("id", "payload").mapInArrow(batch_rows(run, schema), "id long, region long")
 
-    # written one after the other, so the shuffle of one portion of the shingles is on disk at a time
-    shared = None
-    for k in range(PORTIONS):
-        rows = rows_of(k)
+    def shared_in(portion: int) -> DataFrame:
+        rows = rows_of(portion)
         held = stored(spark, rows.groupBy("region").agg(F.count("*").alias("held")).where("held > 1"), "held")
-        part = stored(spark, rows.join(held, "region"), "shared")
-        shared = part if shared is None else shared.unionByName(part)
+        return rows.join(held, "region")
+
+    shared = stored_parts(spark, (shared_in(k) for k in range(PORTIONS)), "shared")
     mine = Window.partitionBy("id")
     ranked = shared.withColumns({
         "rank": F.row_number().over(mine.orderBy("held", "region")), "shared": F.count("*").over(mine)})

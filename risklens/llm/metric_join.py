@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risklens.llm.common import batch_rows, stored
+from risklens.llm.common import batch_rows, stored, stored_parts
 from risklens.llm.components import components
 
 #: A region with at most so many members outside its largest component is
@@ -70,8 +70,7 @@ def measure(spark: SparkSession, pairs: DataFrame, items: DataFrame, distance: C
             got = [distance(x, y) for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist())]
             yield {"a": t.column(0), "b": t.column(1), "link": [bool(g[0]) for g in got], "d": [float(g[1]) for g in got]}
 
-    out = None
-    for k in range(portions):
+    def portion(k: int) -> DataFrame:
         mine, right = pairs.select("a", "b"), items.select(F.col("id").alias("b"), F.col("payload").alias("pb"))
         left = items.select(F.col("id").alias("a"), F.col("payload").alias("pa"))
         if portions > 1:
@@ -79,16 +78,16 @@ def measure(spark: SparkSession, pairs: DataFrame, items: DataFrame, distance: C
             mine, right = mine.where(own), right.where(own)
             left = left.join(mine.select("a").distinct(), "a", "left_semi")
         both = mine.join(left, "a").join(right, "b").select("a", "b", "pa", "pb")
-        part = stored(spark, both.mapInArrow(batch_rows(run, schema), MEASURED), "measured")
-        out = part if out is None else out.unionByName(part)
-    return out
+        return both.mapInArrow(batch_rows(run, schema), MEASURED)
+
+    return stored_parts(spark, (portion(k) for k in range(portions)), "measured")
 
 
 def _with_comp(rows: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def open_items(measured: DataFrame, comp: DataFrame) -> DataFrame:
+def open_items(spark: SparkSession, measured: DataFrame, comp: DataFrame) -> DataFrame:
     """(id): members of star regions that hold several components, and of the regions
     above and below. Two items that share a signature are in stars of two pivots at
     most, themselves in the star of one: where the items are in different components,
@@ -96,12 +95,13 @@ def open_items(measured: DataFrame, comp: DataFrame) -> DataFrame:
     there two steps down reach both items, and so does one step down from its members."""
     stars = measured.select(F.col("a").alias("pivot"), F.col("b").alias("id"))
     ends = _with_comp(_with_comp(stars, comp).select("pivot", F.col("comp").alias("own"), F.col("pivot").alias("id")), comp)
-    mixed = ends.where("own <> comp").select("pivot").distinct()
+    mixed = stored(spark, ends.where("own <> comp").select("pivot").distinct(), "mixed")
     inside = stars.join(mixed, "pivot")
     first = inside.select("id").union(inside.select("pivot")).distinct()
     below = lambda ids: stars.join(ids.withColumnRenamed("id", "pivot"), "pivot", "left_semi").select("id")
     above = stars.join(mixed.withColumnRenamed("pivot", "id"), "id", "left_semi").select(F.col("pivot").alias("id")).distinct()
-    near = first.union(above).union(below(above)).distinct()
+    above = stored(spark, above, "above")
+    near = stored(spark, first.union(above).union(below(above)).distinct(), "near")
     return near.union(below(near)).distinct()
 
 
@@ -156,7 +156,7 @@ def connect(spark: SparkSession, stars: DataFrame, items: DataFrame, distance: C
     measured = measure(spark, stars, items, distance, portions)
     links = measured.where("link").select("a", "b")
     comp = components(spark, links)
-    ids = stored(spark, open_items(measured, comp), "open")
+    ids = stored(spark, open_items(spark, measured, comp), "open")
     fine = refine(ids).join(items.select("id", F.col("size").alias("at")), "id").withColumn("d", F.lit(0.0))
     fine = stored(spark, fine, "fine")
     work, final = stored(spark, _sided(fine, comp), "work"), []
