@@ -94,6 +94,14 @@ def test_jaccard_in_joining_blocks(spark, monkeypatch):
     assert got == all_pairs(sets, 85)
 
 
+def test_jaccard_in_cells(spark):
+    """All regions with several components are cut by pivots."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sets = word_sets({r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}, 4)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark, docs, 4, 85, small=0).collect()}
+    assert got == all_pairs(sets, 85)
+
+
 def test_line_dedup_against_all_pairs(spark):
     near = "this is a line of more than twenty-four characters é"
     rows = [(1, near + "\nshort\n\n" + near), (2, near.replace("line", "lime")), (3, near.replace("a line", "lines")), (4, "short"),
