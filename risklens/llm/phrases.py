@@ -303,8 +303,9 @@ def letters_pass(spark: SparkSession, texts: DataFrame, phrases: DataFrame, seed
         for _ in held_words(batches, own):
             yield from own.letters(wanted.value)
 
-    found = texts.mapInArrow(run, "lang string, w1 long, word string").join(words.select("lang", "w1"), ["lang", "w1"], "left_semi")
-    found = stored(spark, found.groupBy("lang", "w1").agg(F.min("word").alias("word"), F.max("word").alias("other")), "letters")
+    # one row per word before the join: every stretch of every task sends its words
+    found = texts.mapInArrow(run, "lang string, w1 long, word string").groupBy("lang", "w1").agg(F.min("word").alias("word"), F.max("word").alias("other"))
+    found = stored(spark, found.join(words.select("lang", "w1"), ["lang", "w1"], "left_semi"), "letters")
     if not found.where("word <> other").isEmpty():
         raise HashClash
     return found.drop("other")

@@ -121,3 +121,23 @@ def test_groups_under_a_shared_hash():
     for key in (x * 8 + y, x, np.zeros(300, int)):
         at, n = phrases.grouped(key.astype(np.uint64), [x, y])
         assert {(x[i], y[i]): m for i, m in zip(at, n)} == {k: int(((x == k[0]) & (y == k[1])).sum()) for k in set(zip(x, y))}
+
+
+def test_letters_meet_the_words_once(spark, monkeypatch):
+    """Stretches of tasks repeat their words: these are one row each before they meet the wanted ones."""
+    plans, keep = {}, phrases.stored
+
+    def stored(session, df, name):
+        plans[name] = df._jdf.queryExecution().analyzed().toString()
+        return keep(session, df, name)
+
+    monkeypatch.setattr(phrases, "stored", stored)
+    texts = spark.createDataFrame([("en", "a b c a b")] * 20, "lang string, text string")
+    seed = 0
+    h = phrases.words_of(b"a b", seed)[0].view(np.int64).tolist()
+    wanted = spark.createDataFrame([("en", 2, *h, 0, 0, 40)], phrases.COUNTED)
+    got = phrases.letters_pass(spark, texts, wanted, seed, 1 << 16).collect()
+    assert sorted((r.w1, r.word) for r in got) == sorted(zip(h, "ab"))
+    lines = plans["letters"].splitlines()
+    join, first = (next(k for k, x in enumerate(lines) if w in x) for w in ("Join LeftSemi", "Aggregate"))
+    assert join < first
