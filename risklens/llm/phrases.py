@@ -19,7 +19,8 @@ reach the tasks as Bloom filters of at most ``FILTER_BITS`` bits, so what is bro
 has a bound at any size of data: a fuller filter lets more phrases be counted, never
 fewer. A task counts in stretches of ``FLUSH`` words by sorting, so the shuffle gets one
 row per phrase and stretch, and no phrase's or language's rows meet before they are
-added up.
+added up. These rows travel packed, some for each language's and phrase's share of the
+hashes, and are added up in numpy.
 
 Words travel as 64-bit hashes. A last pass fetches the letters of the words that stand
 in frequent phrases, from all documents; should such a hash stand for two words, that
@@ -33,7 +34,6 @@ give empty results; very long texts are read in segments cut between pieces.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -43,7 +43,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from risklens.llm.common import bounded_batches, stored
+from risklens.llm.bloom import Filter, bits_for, broadcast_filter
+from risklens.llm.common import bounded_batches, input_bytes, partitions_for, stored
 from risklens.llm.shingles import mix
 
 LONGEST = 4
@@ -55,12 +56,18 @@ INSIDE_PERCENT = 80
 #: it at SLACK times the rate of the least frequent one, and twice at least.
 SAMPLE = 8
 SLACK = 0.6
-#: Bits of a filter for each phrase, and at most.
-BITS_PER_PHRASE = 16
+#: Bits of a filter at most.
 FILTER_BITS = 1 << 27
 #: Words that a task counts at a time, and bytes of text that it reads at a time.
 FLUSH = 1 << 20
 SEGMENT = 1 << 20
+#: Bytes of packed counts for a byte of stored input, seen on prose, and bytes of them
+#: that a task adds up; size partitions only.
+COUNTS_RATIO = 5.0
+COUNTS_BYTES = 16 << 20
+#: Words that a task remembers to have sent, and bytes of a batch of packed counts.
+SENT = 1 << 18
+PACKED_BYTES = 4 << 20
 
 PIECE_END = re.compile(rb"[.,;:!?\x0a-\x0d]")
 _PIECE = np.zeros(256, bool)
@@ -82,26 +89,6 @@ def phrase_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(0x94D049BB133111EB) + word)
 
 
-class Filter:
-    """A set of phrases that may hold a few more: two bits of ``bits`` for each."""
-
-    def __init__(self, bits: int, words: np.ndarray | None = None):
-        self.bits, self.words = bits, np.zeros(bits // 64, np.uint64) if words is None else words
-
-    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return h % np.uint64(self.bits), mix(h ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(self.bits)
-
-    def add(self, h: np.ndarray) -> None:
-        for at in self.places(h):
-            np.bitwise_or.at(self.words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-
-    def holds(self, h: np.ndarray) -> np.ndarray:
-        out = np.ones(len(h), bool)
-        for at in self.places(h):
-            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-        return out
-
-
 def segments(texts: list[str | None]) -> Iterator[list[bytes]]:
     """Texts by the list, some SEGMENT bytes in each; a longer text is cut behind the
     end of a piece, so no phrase is cut."""
@@ -131,30 +118,54 @@ def words_of(raw: bytes, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     piece = np.cumsum(_PIECE[b])[start] if len(start) else start
     size = end - start
     h = np.full(len(start), (2 * seed + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1, np.uint64)
-    order = np.argsort(-size, kind="stable")  # the longest first: those with a t-th byte are a prefix
-    at, upto = start[order], len(order)
-    own, longest = h.copy(), size[order]
-    for t in range(min(int(longest[0]) if upto else 0, 32)):
-        upto = int(np.searchsorted(-longest, -t, "left"))
+    order = np.argsort(33 - np.minimum(size, 33).astype(np.uint8), kind="stable")  # the longest first: those with a t-th byte are a prefix
+    at, longest, own = start[order], size[order], h.copy()
+    upto = len(h) - np.cumsum(np.bincount(np.minimum(size, 33), minlength=34))  # words of more than t bytes
+    more = upto[32]
+    for t, upto in enumerate(upto[:32].tolist()):
+        if not upto:
+            break
         own[:upto] = mix((own[:upto] ^ (b[at[:upto] + t].astype(np.uint64) + np.uint64(1))) * np.uint64(0xBF58476D1CE4E5B9))
-    for k in range(int(np.searchsorted(-longest, -32, "left"))):
+    for k in range(more):
         own[k] = xxhash.xxh3_64_intdigest(raw[at[k]:at[k] + longest[k]], seed)
     h[order] = own
     return h, piece, start, end
 
 
-def grouped(key: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(a place of each group, its size) of rows equal in all ``columns``, sorted by a
-    hash of them; where that hash is shared, by the columns themselves."""
+def grouped(key: np.ndarray, columns: list[np.ndarray], n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each group, its size or the sum of its ``n``) of rows equal in all
+    ``columns``, sorted by a hash of them; where that hash is shared, by the columns themselves."""
     if not len(key):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     same = key[order[1:]] == key[order[:-1]]
     if any((c[order[1:]] != c[order[:-1]])[same].any() for c in columns):
         order = np.lexsort(columns)
         same = np.logical_and.reduce([c[order[1:]] == c[order[:-1]] for c in columns])
     starts = np.flatnonzero(np.r_[True, ~same])
-    return order[starts], np.diff(np.r_[starts, len(key)])
+    return order[starts], np.diff(np.r_[starts, len(key)]) if n is None else np.add.reduceat(n[order], starts)
+
+
+def entry(k: int) -> np.dtype:
+    """A packed count of a phrase of ``k`` words."""
+    return np.dtype([("lang", "<i4"), ("n", "<i4"), *[(w, "<u8") for w in WORDS[:k]]])
+
+
+def hash_of(langs: list[str], lang: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    h = np.array([lang_hash(x) for x in langs], np.uint64)[lang]
+    for w in words:
+        h = phrase_hash(h, w)
+    return h
+
+
+def counted_rows(langs: list[str], lang: np.ndarray, k: int, words: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    zero = np.zeros(len(n), np.int64)
+    columns = [pa.DictionaryArray.from_arrays(pa.array(lang.astype(np.int32)), pa.array(langs, pa.string())).cast(pa.string()),
+               pa.array(np.full(len(n), k, np.int32)),
+               *[pa.array(words[t].view(np.int64) if t < len(words) else zero) for t in range(LONGEST)], pa.array(n.astype(np.int64))]
+    batch = pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
+    for at in range(0, len(n), 100_000):
+        yield batch.slice(at, 100_000)
 
 
 class Counter:
@@ -187,7 +198,8 @@ class Counter:
         lang = np.repeat(np.array([number[p[0]] for p in self.parts], np.int32), [len(p[1]) for p in self.parts])
         return langs, lang, np.concatenate([p[1] for p in self.parts])
 
-    def flush(self) -> Iterator[pa.RecordBatch]:
+    def flush(self) -> Iterator[tuple]:
+        """(languages, number of each phrase's, words in it, their hashes, its count)."""
         if not self.held:
             return
         langs, lang, h = self.joined()
@@ -197,8 +209,8 @@ class Counter:
         hashes = phrase_hash(np.array([lang_hash(x) for x in langs], np.uint64)[lang], h)
         if 1 in self.levels:
             at, n = grouped(hashes, [lang, h])
-            yield from self.rows(langs, lang, 1, [h[at]], at, n)
-            yield from self.rows(langs, np.arange(len(langs)), 0, [], np.arange(len(langs)), np.bincount(lang))
+            yield langs, lang[at], 1, [h[at]], n
+            yield langs, np.arange(len(langs)), 0, [], np.bincount(lang)
         # for each filter: whether it holds the parts of a phrase, and so all within it;
         # a phrase that a filter holds by accident alone was out of its pass's reach
         parts = [np.ones(len(h), bool) for _ in self.filters]
@@ -220,22 +232,12 @@ class Counter:
                 own = first[take]
                 at, n = grouped(hashes[take], [lang[own], *[h[own + t] for t in range(k)]])
                 at = own[at]
-                yield from self.rows(langs, lang, k, [h[at + t] for t in range(k)], at, n)
+                yield langs, lang[at], k, [h[at + t] for t in range(k)], n
         self.clear()
 
-    @staticmethod
-    def rows(langs, lang, k, words, where, n) -> Iterator[pa.RecordBatch]:
-        names = pa.array(langs, pa.string())
-        zero = np.zeros(len(where), np.int64)
-        columns = [pa.DictionaryArray.from_arrays(pa.array(lang[where].astype(np.int32)), names).cast(pa.string()),
-                   pa.array(np.full(len(where), k, np.int32)),
-                   *[pa.array(words[t].view(np.int64) if t < len(words) else zero) for t in range(LONGEST)], pa.array(n.astype(np.int64))]
-        batch = pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
-        for at in range(0, len(where), 100_000):
-            yield batch.slice(at, 100_000)
-
-    def letters(self, wanted: Filter) -> Iterator[pa.RecordBatch]:
-        """(lang, w1, word) of the words held that ``wanted`` holds."""
+    def letters(self, wanted: Filter, sent: set | None = None) -> Iterator[pa.RecordBatch]:
+        """(lang, w1, word) of the words held that ``wanted`` holds, but for those in
+        ``sent``, which remembers the first SENT."""
         if not self.held:
             return
         langs, lang, h = self.joined()
@@ -245,7 +247,7 @@ class Counter:
         letter = np.frombuffer(raw, np.uint8)
         key = phrase_hash(np.array([lang_hash(x) for x in langs], np.uint64)[lang], h)
         own = np.flatnonzero(wanted.holds(key))
-        own = own[np.argsort(key[own], kind="stable")]
+        own = own[np.argsort(key[own])]
         # each word is held against the first of its hash, letter by letter
         lead = np.r_[True, key[own[1:]] != key[own[:-1]]][:len(own)]
         to = own[np.maximum.accumulate(np.where(lead, np.arange(len(own)), 0))] if len(own) else own
@@ -257,7 +259,9 @@ class Counter:
             differs = letter[start[own[left]] + t] != letter[start[to[left]] + t]
             odd[left[differs]] = True
         found = {(langs[lang[i]], int(h[i].view(np.int64)), raw[start[i]:end[i]]) for i in own[odd].tolist()}
-        rows = sorted(found)
+        sent = set() if sent is None else sent
+        rows = sorted(found - sent)
+        sent.update(rows[:max(0, SENT - len(sent))])
         for k in range(0, len(rows), 100_000):
             part = rows[k:k + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.string()), pa.array([r[1] for r in part], pa.int64()),
@@ -280,31 +284,74 @@ def held_words(batches, own: Counter) -> Iterator[None]:
     yield
 
 
-def count_pass(texts: DataFrame, levels: tuple[int, ...], filters: list, seed: int, least: int) -> DataFrame:
+def count_pass(spark: SparkSession, texts: DataFrame, levels: tuple[int, ...], filters: list, seed: int, least: int, share: float = 1) -> DataFrame:
     """(lang, k, w1.., n) of the phrases of ``texts`` (lang, text) that this pass counts
-    and that occur ``least`` times; k is 0 for all words of a language."""
+    and that occur ``least`` times; k is 0 for all words of a language. ``share``: part
+    of the stored input that ``texts`` are."""
+    parts = partitions_for(spark, COUNTS_RATIO * input_bytes(texts) * share, COUNTS_BYTES)
+    buckets = 4 * parts
+
     def run(batches) -> Iterator[pa.RecordBatch]:
         own = Counter(levels, [f.value for f in filters], seed)
         for _ in held_words(batches, own):
-            yield from own.flush()
+            for langs, lang, k, words, n in own.flush():
+                yield from packed(langs, lang, k, words, n)
 
-    rows = texts.mapInArrow(run, COUNTED).groupBy(*KEY).agg(F.sum("n").alias("n"))
-    return rows.where((F.col("n") >= least) | (F.col("k") == 0))
+    def packed(langs, lang, k, words, n) -> Iterator[pa.RecordBatch]:
+        """Counts as one blob for each bucket of the phrases' hashes."""
+        if not len(n):
+            return
+        bucket = ((mix(hash_of(langs, lang, words)) >> np.uint64(20)) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket, rows = bucket[order], np.empty(len(n), entry(k))
+        rows["lang"], rows["n"] = lang[order], n[order]
+        for name, w in zip(WORDS, words):
+            rows[name] = w[order]
+        cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(n)]
+        step = max(1, PACKED_BYTES * (len(cuts) - 1) // rows.nbytes)
+        for at in range(0, len(cuts) - 1, step):
+            own = cuts[at:at + step + 1]
+            blobs = pa.array([rows[x:y].tobytes() for x, y in zip(own[:-1], own[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[own[:-1]].astype(np.int64)), pa.array(np.full(len(blobs), k, np.int32)),
+                                              pa.array([langs] * len(blobs), pa.list_(pa.string())), blobs], names=["bucket", "k", "langs", "entries"])
+
+    def add_up(batches) -> Iterator[pa.RecordBatch]:
+        number, held = {}, {}
+        for b in batches:
+            for k, langs, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                rows = np.frombuffer(raw, entry(k))
+                to = np.array([number.setdefault(x, len(number)) for x in langs], np.int32)
+                held.setdefault(k, []).append((to[rows["lang"]], rows))
+        langs = list(number)
+        for k in sorted(held):
+            of = held.pop(k)
+            lang, rows = np.concatenate([x for x, _ in of]), np.concatenate([x for _, x in of])
+            del of
+            words = [np.ascontiguousarray(rows[w]) for w in WORDS[:k]]
+            at, n = grouped(hash_of(langs, lang, words), [lang, *words], rows["n"].astype(np.int64))
+            many = (n >= least) | (k == 0)
+            at = at[many]
+            yield from counted_rows(langs, lang[at], k, [w[at] for w in words], n[many])
+
+    blobs = texts.mapInArrow(run, "bucket long, k int, langs array<string>, entries binary")
+    return blobs.repartition(parts, "bucket").mapInArrow(add_up, COUNTED)
 
 
 def letters_pass(spark: SparkSession, texts: DataFrame, phrases: DataFrame, seed: int, filter_bits: int) -> DataFrame:
     """(lang, w1, word) of all words of ``phrases``. Raises where two words share a hash."""
     words = phrases.select("lang", F.explode(F.slice(F.array(*WORDS), F.lit(1), F.col("k"))).alias("w1")).distinct()
     words = stored(spark, words.select("lang", F.lit(1).alias("k"), "w1", *[F.lit(0).cast("long").alias(w) for w in WORDS[1:]]), "words")
-    wanted = filter_of(spark, words, _bits(words.count(), filter_bits))
+    wanted = filter_of(spark, words, bits_for(words.count(), filter_bits))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        own = Counter((), [], seed)
+        own, sent = Counter((), [], seed), set()
         for _ in held_words(batches, own):
-            yield from own.letters(wanted.value)
+            yield from own.letters(wanted.value, sent)
 
-    # one row per word before the join: every stretch of every task sends its words
-    found = texts.mapInArrow(run, "lang string, w1 long, word string").groupBy("lang", "w1").agg(F.min("word").alias("word"), F.max("word").alias("other"))
+    # one row per word before the join: every task sends its words. The join's key is an
+    # aggregate, for the optimizer moves a semi join by grouping columns below the grouping
+    found = texts.mapInArrow(run, "lang string, w1 long, word string").groupBy("lang", F.col("w1").alias("_w")).agg(
+        F.min("w1").alias("w1"), F.min("word").alias("word"), F.max("word").alias("other")).drop("_w")
     found = stored(spark, found.join(words.select("lang", "w1"), ["lang", "w1"], "left_semi"), "letters")
     if not found.where("word <> other").isEmpty():
         raise HashClash
@@ -312,31 +359,17 @@ def letters_pass(spark: SparkSession, texts: DataFrame, phrases: DataFrame, seed
 
 
 def filter_of(spark: SparkSession, phrases: DataFrame, bits: int):
-    """A broadcast Filter with the phrases (KEY). Tasks set bits of their own, which
-    are combined by 64-bit word of the filter: at most ``bits / 64`` rows arrive."""
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        own = Filter(bits)
-        for b in batches:
-            langs, k = b.column(0).to_pylist(), b.column(1).to_numpy()
-            seen = {x: lang_hash(x) for x in set(langs)}
-            h = np.array([seen[x] for x in langs], np.uint64)
-            for t in range(LONGEST):
-                more = k > t
-                h[more] = phrase_hash(h[more], b.column(2 + t).to_numpy().view(np.uint64)[more])
-            own.add(h)
-        at = np.flatnonzero(own.words)
-        for k in range(0, len(at), 100_000):
-            part = at[k:k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(own.words[part].view(np.int64))], ["at", "word"])
-
-    rows = phrases.select(*KEY).where("k > 0").mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
-    words = np.zeros(bits // 64, np.uint64)
-    words[rows["at"].to_numpy()] = rows["word"].to_numpy().view(np.uint64)
-    return spark.sparkContext.broadcast(Filter(bits, words))
-
+    """A broadcast Filter with the phrases (KEY)."""
+    def hashes(b: pa.RecordBatch) -> np.ndarray:
+        langs, k = b.column(0).to_pylist(), b.column(1).to_numpy()
+        seen = {x: lang_hash(x) for x in set(langs)}
+        h = np.array([seen[x] for x in langs], np.uint64)
+        for t in range(LONGEST):
+            more = k > t
+            h[more] = phrase_hash(h[more], b.column(2 + t).to_numpy().view(np.uint64)[more])
+        return h
 
-def _bits(n: int, most: int) -> int:
-    return min(most, max(1 << 16, 1 << math.ceil(math.log2(max(1, n * BITS_PER_PHRASE)))))
+    return broadcast_filter(spark, phrases.select(*KEY).where("k > 0"), hashes, bits)
 
 
 class HashClash(Exception):
@@ -364,14 +397,14 @@ def _mine(spark: SparkSession, docs: DataFrame, least: int, sample: int, filter_
     lowered = max(2, int(SLACK * least / sample))
     proposal, known = None, []
     for k in range(1, LONGEST):
-        level = stored(spark, count_pass(some, (k,), known, seed, lowered).where("k > 0").select(*KEY), "proposed")
+        level = stored(spark, count_pass(spark, some, (k,), known, seed, lowered, 1 / sample).where("k > 0").select(*KEY), "proposed")
         proposal = level if proposal is None else proposal.unionByName(level)
-        known = [filter_of(spark, proposal, _bits(proposal.count(), filter_bits))]
-    counted = stored(spark, count_pass(texts, tuple(range(1, LONGEST + 1)), known, seed, least), "counted")
+        known = [filter_of(spark, proposal, bits_for(proposal.count(), filter_bits))]
+    counted = stored(spark, count_pass(spark, texts, tuple(range(1, LONGEST + 1)), known, seed, least), "counted")
     failed = counted.where(f"k between 1 and {LONGEST - 1}").join(proposal, KEY, "left_anti")
     while not failed.isEmpty():
-        known = [*known, filter_of(spark, counted, _bits(counted.count(), filter_bits))]
-        more = stored(spark, count_pass(texts, tuple(range(2, LONGEST + 1)), known, seed, least), "counted")
+        known = [*known, filter_of(spark, counted, bits_for(counted.count(), filter_bits))]
+        more = stored(spark, count_pass(spark, texts, tuple(range(2, LONGEST + 1)), known, seed, least), "counted")
         counted, failed = counted.unionByName(more), more.where(f"k < {LONGEST}")
     return counted, letters_pass(spark, texts, counted.where("k >= 2"), seed, filter_bits)
 

@@ -141,3 +141,31 @@ def test_letters_meet_the_words_once(spark, monkeypatch):
     lines = plans["letters"].splitlines()
     join, first = (next(k for k, x in enumerate(lines) if w in x) for w in ("Join LeftSemi", "Aggregate"))
     assert join < first
+
+
+def test_letters_are_joined_behind_the_grouping(spark, monkeypatch):
+    """The optimizer must not move the semi join below the grouping again."""
+    plans, keep = {}, phrases.stored
+
+    def stored(session, df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return keep(session, df, name)
+
+    monkeypatch.setattr(phrases, "stored", stored)
+    h = phrases.words_of(b"a b", 0)[0].view(np.int64).tolist()
+    wanted = spark.createDataFrame([("en", 2, *h, 0, 0, 40)], phrases.COUNTED)
+    texts = spark.createDataFrame([("en", "a b c a b")] * 20, "lang string, text string")
+    assert phrases.letters_pass(spark, texts, wanted, 0, 1 << 16).count() == 2
+    lines = plans["letters"].splitlines()
+    join, group = (next(k for k, x in enumerate(lines) if w in x) for w in ("Join LeftSemi", "Aggregate"))
+    assert join < group
+
+
+def test_counts_travel_packed(spark):
+    """Tasks send few rows, of many phrases each; the counts are all there."""
+    texts = spark.createDataFrame([("en", " ".join(f"w{k % 50}" for k in range(4000)))] * 3 + [("fr", "w1 w2")], "lang string, text string").repartition(2)
+    got = phrases.count_pass(spark, texts, (1,), [], 0, 1)
+    assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString() and "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = got.collect()
+    assert sorted((r.lang, r.n) for r in rows if r.k == 0) == [("en", 12000), ("fr", 2)]
+    assert sorted((r.lang, r.n) for r in rows if r.k == 1) == [("en", 240)] * 50 + [("fr", 1)] * 2
