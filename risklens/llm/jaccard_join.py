@@ -47,7 +47,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from risklens.llm.classes import star_pairs
 from risklens.llm.common import batch_rows, bounded_batches, fresh, stored, stored_parts
 from risklens.llm.components import components
-from risklens.llm.metric_join import WIDE_BLOCK, connect
+from risklens.llm.metric_join import WIDE_BLOCK, connect, filtered
 from risklens.llm.shingles import mix, overlap, set_id, shingle_set
 
 #: What near-duplicate stages take: words of a shingle, least similarity in percent.
@@ -195,7 +195,8 @@ def rare_regions(spark: SparkSession, items: DataFrame, ids: DataFrame, percent:
     value), two sets that link share a shingle among the first ``n - needed + 1``
     of each, where needed is the least possible overlap. ``rest`` counts the
     shingles from this one on. Shingles that one item holds come first in the
-    order and lead nowhere, so they count but aren't written.
+    order and lead nowhere, so they count but aren't written. The few more items that
+    a filter of ``ids`` lets through are treated like them: regions only gain members.
     """
     schema = pa.schema([("id", pa.int64()), ("region", pa.int64())])
 
@@ -209,7 +210,9 @@ def rare_regions(spark: SparkSession, items: DataFrame, ids: DataFrame, percent:
                         part = s[k:k + 100_000]
                         yield {"id": np.full(len(part), i), "region": part}
 
-        return items.join(ids, "id").select("id", "payload").mapInArrow(batch_rows(run, schema), "id long, region long")
+        return mine.select("id", "payload").mapInArrow(batch_rows(run, schema), "id long, region long")
+
+    mine = filtered(spark, items.select("id", "payload"), ids)
 
     def shared_in(portion: int) -> DataFrame:
         rows = rows_of(portion)
@@ -217,9 +220,9 @@ def rare_regions(spark: SparkSession, items: DataFrame, ids: DataFrame, percent:
         return rows.join(held, "region")
 
     shared = stored_parts(spark, (shared_in(k) for k in range(PORTIONS)), "shared")
-    mine = Window.partitionBy("id")
+    own = Window.partitionBy("id")
     ranked = shared.withColumns({
-        "rank": F.row_number().over(mine.orderBy("held", "region")), "shared": F.count("*").over(mine)})
+        "rank": F.row_number().over(own.orderBy("held", "region")), "shared": F.count("*").over(own)})
     sizes = items.select("id", (F.length("payload") / 8).cast("long").alias("n"))
     few = ranked.withColumn("rest", F.col("shared") - F.col("rank") + 1).select("region", "id", "rest")
     needed = F.floor((F.col("n") * percent + 99) / 100)  # of the smallest partner that can link
@@ -249,6 +252,30 @@ def jaccard_distance(percent: int):
     return distance
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A set's size and, for each cell of a hash, the parity of its shingles there: some
+    cells a shingle, so a sketch is a small part of its set."""
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    parity = np.bincount((mix(s) >> np.uint64(20)) & np.uint64(bits - 1), minlength=bits) & 1
+    return len(s).to_bytes(8, "little") + np.packbits(parity.astype(bool), bitorder="little").tobytes()
+
+
+def may_link(percent: int):
+    """Every cell of different parity holds a shingle that one of the sets lacks, so links
+    have no more such cells than shingles in which they may differ."""
+    def may(x: bytes, y: bytes) -> bool:
+        total = int.from_bytes(x[:8], "little") + int.from_bytes(y[:8], "little")
+        a, b, size = int.from_bytes(x[8:], "little"), int.from_bytes(y[8:], "little"), 8 * (max(len(x), len(y)) - 8)
+        least = 8 * (min(len(x), len(y)) - 8)
+        if len(x) < len(y):
+            a, b = b, a
+        while size > least:  # the larger sketch has the smaller one's cells: its halves add up
+            size //= 2
+            a = (a >> size) ^ (a & ((1 << size) - 1))
+        return (a ^ b).bit_count() * (100 + percent) <= total * (100 - percent)
+    return may
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = NEAR_WORDS, percent: int = NEAR_PERCENT, small: int = WIDE_BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     return jaccard_groups(spark, docs, size, percent, small).select("doc_id", "n_shingles", "component_id")
@@ -270,7 +297,7 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, size: int, percent: int
     items = set_items(spark, docs, wanted, size)
     links = connect(spark, stars, items, jaccard_distance(percent), (100 - percent) / 100, float(np.log(100 / percent)),
                     lambda ids: rare_regions(spark, items, ids, percent), lambda: overlap_possible(percent), small,
-                    may_meet=overlap_possible_in(percent), portions=PORTIONS)
+                    may_meet=overlap_possible_in(percent), portions=PORTIONS, may=may_link(percent))
     comp = components(spark, links)
     groups = named.join(comp, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "doc_id")
     least = groups.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -279,11 +306,11 @@ def jaccard_groups(spark: SparkSession, docs: DataFrame, size: int, percent: int
 
 
 def set_items(spark: SparkSession, docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(id, payload, size) of the sets named by ``wanted`` (id, doc_id, own), read anew
+    """(id, payload, size, sketch) of the sets named by ``wanted`` (id, doc_id, own), read anew
     from one document of each, by its id and the hash of its text (so repeated and
     null ids meet no other texts); size is the logarithm of the set's size. The set's
     name, computed again, must be the wanted one; one row per set stays."""
-    schema = pa.schema([("id", pa.int64()), ("payload", pa.binary()), ("size", pa.float64())])
+    schema = pa.schema([("id", pa.int64()), ("payload", pa.binary()), ("size", pa.float64()), ("sketch", pa.binary())])
 
     def run(batches) -> Iterator[dict]:
         for b in batches:
@@ -292,11 +319,12 @@ def set_items(spark: SparkSession, docs: DataFrame, wanted: DataFrame, size: int
                 s = shingle_set(t, size)
                 if len(s) and set_id(s) == i:
                     kept.append((i, s))
-            yield {"id": [i for i, _ in kept], "payload": [s.tobytes() for _, s in kept], "size": [float(np.log(len(s))) for _, s in kept]}
+            yield {"id": [i for i, _ in kept], "payload": [s.tobytes() for _, s in kept], "size": [float(np.log(len(s))) for _, s in kept],
+                   "sketch": [sketch(s) for _, s in kept]}
 
     place = wanted.select("id", F.col("doc_id").alias("_doc"), F.col("own").alias("_own"))
     texts = docs.join(place, (F.col("own") == F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("id", "text")
-    rows = texts.mapInArrow(batch_rows(run, schema), "id long, payload binary, size double")
+    rows = texts.mapInArrow(batch_rows(run, schema), "id long, payload binary, size double, sketch binary")
     return stored(spark, rows.dropDuplicates(["id"]), "items")
 
 

@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from risklens.llm.bloom import id_filter
 from risklens.llm.common import batch_rows, stored, stored_parts
 from risklens.llm.components import components
 
@@ -83,6 +84,39 @@ def measure(spark: SparkSession, pairs: DataFrame, items: DataFrame, distance: C
     return stored_parts(spark, (portion(k) for k in range(portions)), "measured")
 
 
+def filtered(spark: SparkSession, rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ``rows`` (id, ...) whose id is among ``ids`` (id), and perhaps a few more: a
+    filter of bounded size goes to the tasks, so payloads aren't shuffled to find them."""
+    among, at = id_filter(spark, ids), rows.columns.index("id")
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(among.value.holds(b.column(at).to_numpy().view(np.uint64))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def measure_links(spark: SparkSession, pairs: DataFrame, items: DataFrame, distance: Callable, may: Callable | None, portions: int = 1) -> DataFrame:
+    """(a, b, link) of ``pairs``. With ``may(sketch, sketch)``, which no link fails, only
+    pairs that pass it are measured, and only payloads of their items are shuffled."""
+    if may is None:
+        return measure(spark, pairs, items, distance, portions).select("a", "b", "link")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("may", pa.bool_())])
+
+    def run(batches) -> Iterator[dict]:
+        for t in batches:
+            yield {"a": t.column(0), "b": t.column(1), "may": [may(x, y) for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist())]}
+
+    left, right = (items.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+    sketched = stored(spark, both.mapInArrow(batch_rows(run, schema), "a long, b long, may boolean"), "sketched")
+    near = sketched.where("may").select("a", "b")
+    ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
+    held = stored(spark, filtered(spark, items.select("id", "payload"), ids), "held")
+    return measure(spark, near, held, distance, portions).select("a", "b", "link").unionByName(
+        sketched.where("not may").select("a", "b", F.lit(False).alias("link")))
+
+
 def _with_comp(rows: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
@@ -137,7 +171,8 @@ def _cut(spark: SparkSession, large: DataFrame, level: int, items: DataFrame, di
 
 def connect(spark: SparkSession, stars: DataFrame, items: DataFrame, distance: Callable, radius: float,
             width: float, refine: Callable[[DataFrame], DataFrame], may_link: Callable | None = None, small: int = SMALL,
-            direct: int | None = None, linked: Callable | None = None, may_meet: Callable | None = None, portions: int = 1) -> DataFrame:
+            direct: int | None = None, linked: Callable | None = None, may_meet: Callable | None = None, portions: int = 1,
+            may: Callable | None = None) -> DataFrame:
     """Links (a, b) whose components are those of all links.
 
     ``stars`` (a, b): pivot and member. ``items`` (id, payload, size): ``size``
@@ -150,10 +185,11 @@ def connect(spark: SparkSession, stars: DataFrame, items: DataFrame, distance: C
     (None: ``may_link`` leaves few pairs, so all are compared by a join, but for
     those of more than MOST pairs, if there is ``may_meet``). ``may_meet(columns, k)``:
     ``may_link`` for arrays of the columns that refine added, between row k and all.
-    ``portions``: parts in which the stars are measured.
+    ``portions``: parts in which the stars are measured. ``may(sketch, sketch)``: a test of
+    the items' column ``sketch`` that every link passes; pairs that fail it aren't measured.
     """
     linked = linked or (lambda x, y: distance(x, y)[0])
-    measured = measure(spark, stars, items, distance, portions)
+    measured = measure_links(spark, stars, items, distance, may, portions)
     links = measured.where("link").select("a", "b")
     comp = components(spark, links)
     ids = stored(spark, open_items(spark, measured, comp), "open")
@@ -188,7 +224,7 @@ def connect(spark: SparkSession, stars: DataFrame, items: DataFrame, distance: C
     close = near & ((F.col("x_region") == F.col("y_region")) & (F.col("x_comp") != F.col("y_comp"))
                     & (~F.col("y_out") | (F.col("x_id") < F.col("y_id"))))
     rest = x.join(y, close).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
-    found = measure(spark, rest, items, lambda x, y: (linked(x, y), 0.0)).where("link").select("a", "b")
+    found = measure_links(spark, rest, items, lambda x, y: (linked(x, y), 0.0), may).where("link").select("a", "b")
     links = links.unionByName(found)
     if may_meet:
         wide = held.where(pairs > MOST)

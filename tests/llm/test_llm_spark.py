@@ -294,3 +294,23 @@ def test_one_row_of_each_group_stays(spark):
     kept = jaccard_join.keep_one(spark, spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, id long"), SF).collect()
     left = [(r.doc_id, (r.text or "").split(" ")[0]) for r in kept]
     assert sorted(left, key=str) == sorted([(7, "base0"), (None, "a"), (None, "second0"), (9, "third0"), (9, "own"), (None, ""), (3, ""), (3, "")], key=str)
+
+
+def test_links_are_measured_behind_sketches(spark, monkeypatch):
+    """Only pairs whose sketches allow a link reach the payloads; all pairs come back."""
+    from risklens.llm import metric_join
+
+    rng, seen, keep = np.random.default_rng(3), [], metric_join.measure
+    sets = [np.unique(rng.integers(0, 1 << 63, 200).astype(np.uint64)) for _ in range(20)]
+    sets.append(sets[0][1:])
+    items = spark.createDataFrame([(k, bytearray(s.tobytes()), bytearray(jaccard_join.sketch(s))) for k, s in enumerate(sets)], "id long, payload binary, sketch binary")
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 21)], "a long, b long")
+
+    def measure(session, near, held, *more):
+        seen.append((near.count(), held.count()))
+        return keep(session, near, held, *more)
+
+    monkeypatch.setattr(metric_join, "measure", measure)
+    got = metric_join.measure_links(spark, pairs, items, jaccard_join.jaccard_distance(80), jaccard_join.may_link(80)).collect()
+    assert sorted((r.a, r.b, r.link) for r in got) == [(0, k, k == 20) for k in range(1, 21)]
+    assert seen == [(1, 2)]

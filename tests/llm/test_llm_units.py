@@ -212,3 +212,18 @@ def test_short_lines_share_a_key():
         if e and edit_distance(a, b) <= e:
             assert set(line_dedup.keys_of_all(a, 2, 24).tolist()) & set(line_dedup.keys_of_all(b, 2, 24).tolist())
     assert line_dedup.near("Share this page", "Share this page!", 2, 24)
+
+
+@pytest.mark.parametrize("percent", [80, 85, 100])
+def test_sketches_pass_every_link(percent):
+    """Pairs that link pass the test of sketches; unrelated large sets don't."""
+    rng, may, distance = np.random.default_rng(percent), jaccard_join.may_link(percent), jaccard_join.jaccard_distance(percent)
+    for _ in range(600):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 400))).astype(np.uint64))
+        gone, new = rng.integers(0, len(a) // 6 + 1), rng.integers(0, len(a) // 6 + 1)
+        b = np.unique(np.r_[a[gone:], rng.integers(0, 1 << 63, int(new)).astype(np.uint64)])
+        x, y = jaccard_join.sketch(a), jaccard_join.sketch(b)
+        assert may(x, y) == may(y, x)
+        assert may(x, y) or not distance(a.tobytes(), b.tobytes())[0]
+    x, y = (jaccard_join.sketch(np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))) for _ in range(2))
+    assert not may(x, y) and len(x) <= 8 + 300 / 4
