@@ -36,13 +36,18 @@ from pyspark.sql import functions as F
 from risklens.llm.classes import star_pairs
 from risklens.llm.common import batch_rows, bounded_batches, stored
 from risklens.llm.components import components
-from risklens.llm.metric_join import SMALL, connect
+from risklens.llm.metric_join import connect
 
 EDITS = 2
 #: Characters from which all EDITS are allowed.
 MIN_CHARS = 24
 #: Regions with more lines outside their largest class are compared in blocks.
 DIRECT = 24
+#: Regions with more lines outside are cut: up to here the blocks' comparison of counts
+#: costs no more than the distances to a cut's pivots.
+SMALL = 1024
+#: Counters of a line's characters, by code point.
+COUNTERS = 64
 #: Bytes of keys for a byte of stored input, seen on prose; sizes partitions only.
 KEY_RATIO = 1.5
 
@@ -119,6 +124,11 @@ def near(x: str, y: str, edits: int, min_chars: int) -> bool:
     return within(x, y, e) <= e
 
 
+def char_counts(lines) -> np.ndarray:
+    """Counters of each line's characters. One edit changes them by at most 2 in all."""
+    return np.array([np.bincount(np.frombuffer(x.encode("utf-32-le"), "<u4") % COUNTERS, minlength=COUNTERS) for x in lines], np.int32).reshape(-1, COUNTERS)
+
+
 def within(x: str, y: str, edits: int) -> int:
     """Edit distance, or ``edits + 1`` if it is larger. An automaton over the band:
     for each number of edits a word of bits, one for each diagonal."""
@@ -234,7 +244,7 @@ def line_classes(spark: SparkSession, docs: DataFrame, edits: int = EDITS, min_c
         return d <= allowed(min(len(x), len(y)), edits, min_chars), d
 
     links = connect(spark, stars, items, distance, edits, edits, lambda ids: key_regions(items, ids, edits, min_chars), None, small,
-                    direct=DIRECT, linked=lambda x, y: near(x, y, edits, min_chars))
+                    direct=DIRECT, linked=lambda x, y: near(x, y, edits, min_chars), counts=char_counts, apart=2 * edits)
     return rows, components(spark, links)
 
 

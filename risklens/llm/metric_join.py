@@ -172,7 +172,7 @@ def _cut(spark: SparkSession, large: DataFrame, level: int, items: DataFrame, di
 def connect(spark: SparkSession, stars: DataFrame, items: DataFrame, distance: Callable, radius: float,
             width: float, refine: Callable[[DataFrame], DataFrame], may_link: Callable | None = None, small: int = SMALL,
             direct: int | None = None, linked: Callable | None = None, may_meet: Callable | None = None, portions: int = 1,
-            may: Callable | None = None) -> DataFrame:
+            may: Callable | None = None, counts: Callable | None = None, apart: float = 0) -> DataFrame:
     """Links (a, b) whose components are those of all links.
 
     ``stars`` (a, b): pivot and member. ``items`` (id, payload, size): ``size``
@@ -187,6 +187,8 @@ def connect(spark: SparkSession, stars: DataFrame, items: DataFrame, distance: C
     ``may_link`` for arrays of the columns that refine added, between row k and all.
     ``portions``: parts in which the stars are measured. ``may(sketch, sketch)``: a test of
     the items' column ``sketch`` that every link passes; pairs that fail it aren't measured.
+    ``counts(payloads)``: a row of numbers for each payload; the rows of a link's ends differ
+    by at most ``apart`` in all, so blocks rule other pairs out at once.
     """
     linked = linked or (lambda x, y: distance(x, y)[0])
     measured = measure_links(spark, stars, items, distance, may, portions)
@@ -195,13 +197,16 @@ def connect(spark: SparkSession, stars: DataFrame, items: DataFrame, distance: C
     ids = stored(spark, open_items(spark, measured, comp), "open")
     fine = refine(ids).join(items.select("id", F.col("size").alias("at")), "id").withColumn("d", F.lit(0.0))
     fine = stored(spark, fine, "fine")
-    work, final = stored(spark, _sided(fine, comp), "work"), []
+    work, final, held = stored(spark, _sided(fine, comp), "work"), [], None
     for level in range(LEVELS):
         large = work.where(F.col("outside") > small)
-        final.append(work.where(F.col("outside") <= small))
         if large.isEmpty():
+            if level == 0:
+                held = work  # nothing is cut, so regions and components are as they were
+            final.append(work)
             work = None
             break
+        final.append(work.where(F.col("outside") <= small))
         inside, whole, found = _cut(spark, large, level, items, distance, radius)
         final.append(whole)
         links = links.unionByName(found)
@@ -213,7 +218,8 @@ def connect(spark: SparkSession, stars: DataFrame, items: DataFrame, distance: C
     for part in final[1:]:
         rows = rows.unionByName(part)
     rows = rows.drop("comp", "out", "outside", "size")
-    held = stored(spark, _sided(rows, comp), "final")
+    if held is None:
+        held = stored(spark, _sided(rows, comp), "final")
     near = ((F.abs(F.col("x_d") - F.col("y_d")) <= radius + SLACK) & (F.abs(F.col("x_at") - F.col("y_at")) <= width + SLACK))
     if may_link is not None:
         near = near & may_link()
@@ -231,7 +237,7 @@ def connect(spark: SparkSession, stars: DataFrame, items: DataFrame, distance: C
         return links if wide.isEmpty() else links.unionByName(stored(spark, _joining(wide, items, linked, radius, width, may_meet), "wide"))
     if direct is None:
         return links
-    wide = _in_blocks(held.where(F.col("outside") > direct), items, linked, radius, width, BLOCK)
+    wide = _in_blocks(held.where(F.col("outside") > direct), items, linked, radius, width, BLOCK, counts, apart)
     return links.unionByName(stored(spark, wide, "wide"))
 
 
@@ -268,25 +274,32 @@ def _joining(held: DataFrame, items: DataFrame, linked: Callable, radius: float,
     return grouped.applyInArrow(meet, "a long, b long").distinct()
 
 
-def _in_blocks(held: DataFrame, items: DataFrame, linked: Callable, radius: float, width: float, block: int) -> DataFrame:
-    """Links in large regions: members are dealt into blocks, and every two blocks
-    meet in a group of their own, which returns links only."""
-    blocks = F.ceil(F.col("size") / block)
-    rows = held.select("region", "id", "d", "at", "comp", "out", blocks.alias("n"), F.pmod(F.xxhash64("id"), blocks).alias("own"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).join(items.select("id", "payload"), "id")
+def _in_blocks(held: DataFrame, items: DataFrame, linked: Callable, radius: float, width: float, block: int,
+               counts: Callable | None = None, apart: float = 0) -> DataFrame:
+    """Links in large regions: outside members and all members are dealt into blocks, and
+    every two blocks meet in a group of their own, which returns links only. So a member is
+    copied once for each block of outside members, however many are inside."""
+    rows = held.select("region", "id", "d", "at", "comp", "out", F.ceil(F.col("outside") / block).alias("outer"), F.ceil(F.col("size") / block).alias("whole"))
+    dealt = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = rows.where("out").withColumns({"x": dealt("outer"), "left": F.lit(True)}).withColumn("y", every("whole"))
+    right = rows.withColumns({"y": dealt("whole"), "left": F.lit(False)}).withColumn("x", every("outer"))
 
     def meet(t: pa.Table) -> pa.Table:
-        ids, d, at, comp, out, own, load = (t[c].to_numpy(zero_copy_only=False) for c in ("id", "d", "at", "comp", "out", "own", "payload"))
-        a, b = [], []
-        for k in range(len(ids)):
-            near = ((comp != comp[k]) & (out | out[k]) & (np.abs(d - d[k]) <= radius + SLACK) & (np.abs(at - at[k]) <= width + SLACK) & (ids > ids[k]))
-            if t["lo"][0] != t["hi"][0]:
-                near &= own != own[k]  # pairs inside a block meet in that block's own group
-            for j in np.flatnonzero(near):
+        ids, d, at, comp, out, left, load = (t[c].to_numpy(zero_copy_only=False) for c in ("id", "d", "at", "comp", "out", "left", "payload"))
+        seen = counts(load) if counts else None
+        mine, others, a, b = np.flatnonzero(left), np.flatnonzero(~left), [], []
+        for k in mine.tolist():
+            near = others[(comp[others] != comp[k]) & (~out[others] | (ids[others] > ids[k])) & (np.abs(d[others] - d[k]) <= radius + SLACK)
+                          & (np.abs(at[others] - at[k]) <= width + SLACK)]
+            if seen is not None and len(near):
+                near = near[np.abs(seen[near] - seen[k]).sum(axis=1) <= apart]
+            for j in near.tolist():
                 if linked(load[k], load[j]):
-                    a.append(ids[k])
-                    b.append(ids[j])
+                    a.append(min(ids[k], ids[j]))
+                    b.append(max(ids[k], ids[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    grouped = rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).groupBy("region", "lo", "hi")
+    both = left.unionByName(right).drop("outer", "whole").join(items.select("id", "payload"), "id")
+    grouped = both.groupBy("region", "x", "y")
     return grouped.applyInArrow(meet, "a long, b long").distinct()

@@ -314,3 +314,41 @@ def test_links_are_measured_behind_sketches(spark, monkeypatch):
     got = metric_join.measure_links(spark, pairs, items, jaccard_join.jaccard_distance(80), jaccard_join.may_link(80)).collect()
     assert sorted((r.a, r.b, r.link) for r in got) == [(0, k, k == 20) for k in range(1, 21)]
     assert seen == [(1, 2)]
+
+
+def test_blocks_hold_counts_against_each_other(spark):
+    """A region of more than one block on each side: all links between components are found,
+    and lines whose characters differ too much are never compared."""
+    lines = [f"{k:06b}" + "x" * (k // 40) for k in range(64)]
+    rows = [(k, x, float(len(x)), k % 3, k % 3 > 0) for k, x in enumerate(lines)]
+    items = spark.createDataFrame([r[:3] for r in rows], "id long, payload string, size double")
+    held = spark.createDataFrame([(9, k, 0.0, s, c, o, sum(r[4] for r in rows), len(rows)) for k, _, s, c, o in rows],
+                                 "region long, id long, d double, at double, comp long, out boolean, outside long, size long")
+    counts, apart = line_dedup.char_counts, 4
+
+    def linked(x, y):
+        if np.abs(np.subtract(*line_dedup.char_counts([x, y]))).sum() > apart:
+            raise AssertionError("counts rule this pair out")
+        return line_dedup.within(x, y, 2) <= 2
+
+    got = metric_join._in_blocks(held, items, linked, 2, 2, 8, counts, apart).collect()
+    want = {(i, j) for j in range(64) for i in range(j) if i % 3 != j % 3 and line_dedup.within(lines[i], lines[j], 2) <= 2}
+    assert want and {(r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
+def test_regions_that_blocks_hold_are_not_cut(spark, monkeypatch):
+    """Lines that share two thirds of their text, in one region with over 64 outside: no cells,
+    no second table of its members, and the classes of all pairs."""
+    head, tags, keep = "the same beginning of every line here ", [], metric_join.stored
+    lines = [head + f"{k * k * 7919 % 100_003:017b}" for k in range(150)]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    monkeypatch.setattr(metric_join, "stored", lambda s, df, tag: tags.append(tag) or keep(s, df, tag))
+    got = {r.doc_id: r.keep for r in line_dedup.dropped_lines(spark, docs).collect()}
+    assert {"work", "wide"} <= set(tags) and not {"spread", "final"} & set(tags)
+    first = list(range(len(lines)))
+    for j in range(len(lines)):
+        for i in range(j):
+            if line_dedup.within(lines[i], lines[j], 2) <= 2:
+                low, high = sorted((first[i], first[j]))
+                first = [low if f == high else f for f in first]
+    assert got == {k: first[k] == k for k in range(len(lines))} and 60 < sum(got.values()) < 150
