@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risklens.llm.common import batch_rows, bounded_batches
+from risklens.llm.common import batch_rows, bounded_batches, lean
 from risklens.llm.shingles import PUNCTUATION, word_hashes
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -284,5 +284,5 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 clean = [not m for m in shared.value.matches(b.column(at).to_pylist(), THRESHOLD)]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(lean(run), docs.schema)
     return out

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from risklens.llm.classes import star_pairs
-from risklens.llm.common import batch_rows, bounded_batches, fresh, stored, stored_parts
+from risklens.llm.common import batch_rows, bounded_batches, fresh, lean, stored, stored_parts
 from risklens.llm.components import components
 from risklens.llm.metric_join import WIDE_BLOCK, connect, filtered
 from risklens.llm.shingles import mix, overlap, set_id, shingle_set
@@ -352,7 +352,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             sets = [shingle_set(t, NEAR_WORDS) for t in b.column(at).to_pylist()]
             yield b.append_column(mark, pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()))
 
-    rows = docs.mapInArrow(name, schema)
+    rows = docs.mapInArrow(lean(name), schema)
     rows = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept[_id]) & rows[mark].eqNullSafe(kept[_name]), "left_semi")
     if not held.isEmpty():  # rows equal in id and set: one of them, whatever else they hold
         rows = rows.where(F.col(mark).isNull()).unionByName(rows.where(F.col(mark).isNotNull()).dropDuplicates(["doc_id", mark]))

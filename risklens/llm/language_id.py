@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risklens.llm.common import batch_rows, bounded_batches
+from risklens.llm.common import batch_rows, bounded_batches, lean
 
 #: Documented bound of the training sample: rows per language and characters of each.
 SAMPLE_ROWS = 400
@@ -199,26 +199,38 @@ def train(samples: list[tuple[bytes, str]], hidden: int = HIDDEN, steps: int = S
     return net
 
 
-def document_probabilities(net: ByteNet, texts: list[bytes]) -> np.ndarray:
-    """(documents, languages): mean of the position probabilities over the bytes
-    of letters. Windows of all texts are stepped through side by side."""
-    weight = letter_weights()
-    owner, rows = [], []
-    for d, raw in enumerate(texts):
+def window_blocks(texts: list[str] | list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(windows, their texts' numbers), LANES at a time; only the block at hand and the text
+    that it ends in are held beside the texts."""
+    rows, owner, held = [], [], 0
+    for d, text in enumerate(texts):
+        raw = text.encode("utf-8") if isinstance(text, str) else text
         n = -(-len(raw) // WINDOW)
         if n:
             padded = np.zeros(n * WINDOW, np.uint8)
             padded[:len(raw)] = np.frombuffer(raw, np.uint8)
             rows.append(padded.reshape(n, WINDOW))
             owner.append(np.full(n, d))
+            held += n
+        if held >= LANES:
+            windows, own = np.concatenate(rows), np.concatenate(owner)
+            full = held - held % LANES
+            for k in range(0, full, LANES):
+                yield windows[k:k + LANES], own[k:k + LANES]
+            rows, owner, held = [windows[full:].copy()], [own[full:].copy()], held - full
+    if held:
+        yield np.concatenate(rows), np.concatenate(owner)
+
+
+def document_probabilities(net: ByteNet, texts: list[str] | list[bytes]) -> np.ndarray:
+    """(documents, languages): mean of the position probabilities over the bytes
+    of letters. Windows of all texts are stepped through side by side."""
+    weight = letter_weights()
     total = np.zeros((len(texts), len(net.langs)))
     mass = np.zeros(len(texts))
-    if not rows:
-        return total
-    windows, owner = np.concatenate(rows), np.concatenate(owner)
-    for k in range(0, len(windows), LANES):
-        x = np.ascontiguousarray(windows[k:k + LANES].T)
-        own, w = owner[k:k + LANES], weight[x]
+    for windows, own in window_blocks(texts):
+        x = np.ascontiguousarray(windows.T)
+        w = weight[x]
         pooled = np.zeros((len(net.langs), x.shape[1]), np.float32)
         for t, p in net.position_probabilities(x):
             p *= w[t]
@@ -259,7 +271,7 @@ def label(net: ByteNet | None, texts: list[str | None]) -> tuple[list[str], list
     lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
     at = np.flatnonzero(known)
     if len(at):
-        p = document_probabilities(net, [texts[i].encode("utf-8") for i in at])
+        p = document_probabilities(net, [texts[i] for i in at])
         for i, row in zip(at.tolist(), p):
             lang[i], score[i] = net.langs[int(row.argmax())], min(1.0, float(row.max()))
     return lang, score
@@ -300,4 +312,4 @@ def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             lang, score = label(shared.value, b.column(at).to_pylist())
             yield b.filter(pa.array([k != UNKNOWN and s >= MIN_SCORE for k, s in zip(lang, score)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

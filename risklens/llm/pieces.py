@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 from risklens.llm.common import batch_rows, bounded_batches
 
 MARK = "▁"
-#: Entries after which a worker's memory of segments and pairs starts anew,
+#: Entries after which a worker's memory of segments, and that of pairs, starts anew,
 #: and the longest segment that is kept.
-MEMO = 500_000
+MEMO = 300_000
+PAIRS = 1_000_000
 MEMO_CHARS = 48
 
 
@@ -66,7 +67,9 @@ class PieceCodec:
         cut = not any(inner.search(p) for p in self.id_of)
         self.segments = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if cut else "(?s).+").findall
         self.pairs: dict[int, bool] = {}
-        self.memo: dict[str, tuple[bytes, str]] = {}
+        self.memo: dict[str, bytes] = {}  # ids of segments that decode to themselves
+        self.packed: tuple[np.ndarray, np.ndarray] | None = None  # pairs between tasks
+        self.odd: dict[str, tuple[bytes, str]] = {}  # ids and text of the others
 
     def merged(self, text: str) -> list[str]:
         """Merge a short text by its definition: best score first, then leftmost."""
@@ -91,7 +94,7 @@ class PieceCodec:
         else:
             a = self.piece_of[left]
             known = self.merged(a + b) == [a, b]
-        if len(self.pairs) > 2 * MEMO:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
         self.pairs[(left + 1) * self.size + piece_id] = known
         return known
@@ -120,14 +123,37 @@ class PieceCodec:
                 out.extend(self.byte_id.get(b, self.unknown) for b in reversed(raw)) if self.byte_id else out.append(self.unknown)
         return out[::-1]
 
-    def _segment(self, seg: str) -> tuple[bytes, str]:
-        ids = self.segment_ids(seg)
-        got = np.array(ids, dtype="<u4").tobytes(), self.join_pieces(ids)
-        if len(seg) <= MEMO_CHARS:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            self.memo[seg] = got
-        return got
+    def _segment(self, seg: str, odd: dict[str, str]) -> bytes:
+        """Ids of a segment; ``odd`` gets what it decodes to, if that isn't its own text."""
+        got = self.odd.get(seg)
+        if got is None:
+            ids = self.segment_ids(seg)
+            got = np.array(ids, dtype="<u4").tobytes(), self.join_pieces(ids)
+            plain = got[1] == seg.replace(MARK, " ")
+            if len(seg) <= MEMO_CHARS:
+                kept = self.memo if plain else self.odd
+                if len(kept) > MEMO:
+                    kept.clear()
+                kept[seg] = got[0] if plain else got
+            if plain:
+                return got[0]
+        odd[seg] = got[1]
+        return got[0]
+
+    def rest(self) -> None:
+        """For the time between tasks, when a worker idles beside those of other stages: segments
+        go (a task's input fills them anew) and pairs are packed, so no small object of
+        either is left and their memory is given back."""
+        if self.pairs:
+            self.packed = np.fromiter(self.pairs, np.int64, len(self.pairs)), np.fromiter(self.pairs.values(), np.bool_, len(self.pairs))
+        for kept in (self.memo, self.odd, self.pairs):
+            kept.clear()
+
+    def wake(self) -> None:
+        """Unpack the pairs that ``rest`` packed."""
+        if self.packed is not None:
+            self.pairs.update(zip(*(a.tolist() for a in self.packed)))
+            self.packed = None
 
     def join_pieces(self, ids) -> str:
         """Texts of pieces; runs of byte pieces are read as UTF-8."""
@@ -164,10 +190,15 @@ class PieceCodec:
         edge = np.array([self.begin, self.end], dtype="<u4")
         if not text:
             return edge.tobytes(), ""
-        known = self.memo.get
-        parts = [known(s) or self._segment(s) for s in self.segments(MARK + text.replace(" ", MARK))]
-        decoded = "".join([p[1] for p in parts])
-        return edge[:1].tobytes() + b"".join([p[0] for p in parts]) + edge[1:].tobytes(), decoded[1:] if decoded.startswith(" ") else decoded
+        known, odd = self.memo.get, {}
+        marked = MARK + text.replace(" ", MARK)
+        segments = self.segments(marked)
+        parts = [known(s) or self._segment(s, odd) for s in segments]
+        if odd:
+            decoded = "".join([odd[s] if s in odd else s.replace(MARK, " ") for s in segments])
+        else:
+            decoded = marked.replace(MARK, " ")
+        return edge[:1].tobytes() + b"".join(parts) + edge[1:].tobytes(), decoded[1:] if decoded.startswith(" ") else decoded
 
 
 _CODECS: dict[str, PieceCodec] = {}
@@ -192,6 +223,13 @@ def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str, keep
 
     def run(batches) -> Iterator[dict]:
         own = codec(model.value)
+        own.wake()
+        try:
+            yield from columns(own, batches)
+        finally:
+            own.rest()
+
+    def columns(own: PieceCodec, batches) -> Iterator[dict]:
         for b in batches:
             rows = [own.encode_both(t or "") for t in b.column(1).to_pylist()]
             cols = {"doc_id": b.column(0), "n_tokens": [len(i) // 4 for i, _ in rows],

@@ -227,3 +227,44 @@ def test_sketches_pass_every_link(percent):
         assert may(x, y) or not distance(a.tobytes(), b.tobytes())[0]
     x, y = (jaccard_join.sketch(np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))) for _ in range(2))
     assert not may(x, y) and len(x) <= 8 + 300 / 4
+
+
+def test_codec_rests_between_tasks():
+    """Nothing but packed pairs is held between tasks, and ids and texts stay the library's."""
+    import public_tokenizers
+    import sentencepiece
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    lib, own = sentencepiece.SentencePieceProcessor(model_proto=model), PieceCodec(model)
+    texts = ["", "a plain text, plain text", "▁a b", "a  b\x00c\ud7ff", "🙂 x 🙂 plain", "日本語 text", "▁", "tab\tx\n" + "y" * 60]
+    for _ in range(2):
+        own.wake()
+        for t in texts * 2:
+            ids, text = own.encode_both(t)
+            want = [own.begin, *lib.encode(t), own.end]
+            assert np.frombuffer(ids, "<u4").tolist() == want and text == lib.decode(want)
+        pairs = dict(own.pairs)
+        own.rest()
+        assert not own.memo and not own.odd and not own.pairs and len(own.packed[0]) == len(pairs) > 0
+    own.wake()
+    assert own.pairs == pairs
+
+
+def test_windows_come_block_by_block():
+    """The same blocks as of all windows at once, but no more than a block and a text are held."""
+    texts = [b"x" * n for n in (0, 1, 64, 65, 64 * language_id.LANES * 2 + 5, 7, 64 * language_id.LANES - 64, 3)]
+    blocks = list(language_id.window_blocks(texts))
+    assert [len(w) for w, _ in blocks[:-1]] == [language_id.LANES] * (len(blocks) - 1)
+    owner = np.concatenate([o for _, o in blocks])
+    assert owner.tolist() == [d for d, t in enumerate(texts) for _ in range(-(-len(t) // 64))]
+    held = np.bincount(owner, (np.concatenate([w for w, _ in blocks]) > 0).sum(axis=1), len(texts))
+    assert held.tolist() == [len(t) for t in texts]
+
+
+def test_arrow_gives_memory_back_at_a_tasks_end(monkeypatch):
+    from risklens.llm import common
+    calls = []
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: calls.append(1)})())
+    run = common.lean(lambda batches: (b + 1 for b in batches))(iter([1, 2]))
+    assert next(run) == 2 and not calls
+    assert list(run) == [3] and calls == [1]
